@@ -27,17 +27,18 @@ from kvlake.llm.store import cut
 #: A repeated run has to have as many characters to be deleted.
 MIN_CHARS = 50
 
-PLACE = F.struct("doc_id", "rid", "line")
-
-
 def row_id() -> F.Column:
     """A key of a row that is never null and is shared by rows of equal id and text alone."""
     return F.xxhash64("doc_id", "text")
 
 
+def place() -> F.Column:
+    return F.struct("doc_id", "rid", "line")
+
+
 def _intervals(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose name occurs more than once, with the first place that has it."""
-    first = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(PLACE).alias("first")).where("n > 1").drop("n")
+    first = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1").drop("n")
     return suffixes.join(first, "name")
 
 
@@ -48,7 +49,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     level = cut(_intervals(suffixes).repartition("rid").dropDuplicates(["rid", "line"]))
     marks, step = [], 1
     while not level.isEmpty():
-        marks.append(level.where((PLACE > F.col("first")) & (F.col("chars") >= min_chars)).select("rid", F.col("line").alias("first"), (F.col("line") + step).alias("last")))
+        marks.append(level.where((place() > F.col("first")) & (F.col("chars") >= min_chars)).select("rid", F.col("line").alias("first"), (F.col("line") + step).alias("last")))
         on = Window.partitionBy("rid").orderBy("line")
         ahead = F.lead(F.struct("line", "name", "chars"), step).over(on)
         longer = level.select("doc_id", "rid", "line", "name", "chars", ahead.alias("ahead")).where(F.col("ahead.line") == F.col("line") + step)
