@@ -51,20 +51,24 @@ def template(words: Column) -> Column:
     return F.transform(words, canonical)
 
 
-def windows(names: Column) -> Column:
-    """Hash of the WINDOW names from each place that has as many: pairs, then pairs of pairs, and so on."""
-    out, step = names, 1
+def with_windows(rows: DataFrame) -> DataFrame:
+    """rows with names (template words) and windows: the hash of the WINDOW names from each place that has as many.
+
+    Rows of fewer words have no windows; an outer explode keeps Spark from computing them once more as a filter. Hashes of pairs, then of pairs of pairs, and so on; each level is a column of its own, so that it is computed once.
+    """
+    rows, step = rows.withColumn("names", template(F.col("words"))), 1
+    rows = rows.withColumn("windows", F.col("names"))
     while step < WINDOW:
-        size = F.size(out) - step
-        out = F.when(size > 0, F.zip_with(F.slice(out, 1, size), F.slice(out, step + 1, size), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+        rows = rows.withColumn("size", F.greatest(F.size("windows") - step, F.lit(0)))
+        rows = rows.withColumn("windows", F.zip_with(F.slice("windows", F.lit(1), F.col("size")), F.slice("windows", F.lit(step + 1), F.col("size")), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return out
+    return rows.drop("size")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """window, item_id, item_words, at, names and words of each template window of the items."""
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("words")).withColumn("names", template(F.col("words")))
-    rows = items.select("item_id", F.size("words").alias("item_words"), "words", "names", F.posexplode(windows(F.col("names"))).alias("at", "window"))
+    items = with_windows(benchmark.select("item_id", tokens(F.col("text")).alias("words")))
+    rows = items.select("item_id", F.size("words").alias("item_words"), "words", "names", F.posexplode_outer("windows").alias("at", "window"))
     rows = rows.select(
         "window", "item_id", "item_words", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("item_slice"), F.transform(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x < 0).alias("slots")
     ).withColumn("vague", F.size(F.filter("slots", lambda s: s)) > WINDOW // 2)
@@ -74,11 +78,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, item_id, n_windows, n_words (of the longest match), share (of the item), reparameterised, for each leaked pair."""
-    items = item_windows(benchmark)
+    items = item_windows(benchmark).where("window is not null")
     if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    texts = docs.select("doc_id", row_id().alias("rid"), tokens(F.col("text")).alias("words"))
-    places = texts.select("doc_id", "rid", "words", F.posexplode(windows(template(F.col("words")))).alias("place", "window"))
+    texts = with_windows(docs.select("doc_id", row_id().alias("rid"), tokens(F.col("text")).alias("words")))
+    places = texts.select("doc_id", "rid", "words", F.posexplode_outer("windows").alias("place", "window"))
     met = places.join(items, "window").select(
         "rid", "doc_id", "item_id", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"),
         F.filter(F.arrays_zip("item_slice", F.slice("words", F.col("place") + 1, WINDOW).alias("doc_slice"), "slots"), lambda x: x["slots"]).alias("pairs"),
