@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import decontaminate, langid, lines, packing, quality, setjoin
+from kvlake.llm import decontaminate, langid, lines, packing, passages, quality, setjoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +48,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard, op3_language, op5_lines, op6_packing, op9_quality, op10_leaks)}
+    return {f.__name__: f for f in (op2_jaccard, op3_language, op5_lines, op6_packing, op8_passages, op9_quality, op10_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
