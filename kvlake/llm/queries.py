@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import decontaminate, langid, lines, packing, passages, quality, setjoin
+from kvlake.llm import decontaminate, langid, lines, packing, passages, quality, setjoin, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.groups(table(spark, sf_dir, "documents")).drop("rid")
 
@@ -48,7 +52,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard, op3_language, op5_lines, op6_packing, op8_passages, op9_quality, op10_leaks)}
+    return {f.__name__: f for f in (op1_substrings, op2_jaccard, op3_language, op5_lines, op6_packing, op8_passages, op9_quality, op10_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
