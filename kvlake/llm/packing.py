@@ -12,6 +12,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -40,8 +41,8 @@ BRANCHES = 2_000
 FILLINGS = 24
 #: Units that are encoded as one text.
 LOT = 50
-#: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Words, and units of words, whose ids a worker remembers: beyond that it begins anew.
+WORDS, UNITS = 900_000, 900_000
 
 
 def default_tokenizer() -> str:
@@ -58,8 +59,11 @@ class Tokens:
     """
 
     # The units into which the tokenizer splits normalised words.
-    UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ɏ]+")
+    UNITS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+")
+    #: What makes a word be encoded as it is: any but plain letters, digits and marks, and the beginning of a special token.
+    ODD = re.compile(r"[^\n!-~À-ÖØ-öø-ɏ]|<\|")
+    #: Stands between words; no id has these bytes at any offset, as ids are below 2**24.
+    BREAK = b"\xff" * 8
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -89,24 +93,26 @@ class Tokens:
                     self.units[unit] = self._encode(unit).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > WORDS:
             self.words.clear()
-        if len(self.units) > REMEMBERED:
+        if len(self.units) > UNITS:
             self.units.clear()
-        split: dict[bytes, list[str]] = {}
-        for word in words:
-            if word in self.words:
-                continue
-            text = word.decode()
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            if "<|" in text or not self.PLAIN.fullmatch(text):
+        new = list(words - self.words.keys())
+        held = b"\n".join(new).decode()
+        if not held.isascii() and not unicodedata.is_normalized("NFC", held):
+            held = unicodedata.normalize("NFC", held)
+        if self.ODD.search(held):
+            odd = {w for w in new if self.ODD.search(unicodedata.normalize("NFC", w.decode()))}
+            for word in odd:
                 self.words[word] = self._encode(word.decode()).tobytes()
-                continue
-            split[word] = self.UNITS.findall(text.lower() if text.isascii() else "".join(c.lower() for c in text))
-        self._learn_units(list({u for units in split.values() for u in units} - self.units.keys()))
-        for word, units in split.items():
-            self.words[word] = b"".join([self.units[u] for u in units])
+            new = [w for w in new if w not in odd]
+            held = unicodedata.normalize("NFC", b"\n".join(new).decode())
+        if not new:
+            return
+        units = self.UNITS.findall(held.lower())
+        self._learn_units(list(set(units) - self.units.keys() - {"\n"}))
+        self.units["\n"] = self.BREAK
+        self.words.update(zip(new, b"".join([self.units[u] for u in units]).split(self.BREAK), strict=True))
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -126,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     kind = dict(docs.dtypes)["doc_id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         path = tokenizer or default_tokenizer()
         if path not in _TOKENS:
             _TOKENS[path] = Tokens(path)
