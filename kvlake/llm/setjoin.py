@@ -9,12 +9,13 @@ document its set's size and the least doc_id that links reach.
   subset of the size that their link needs, so each light set sends all its subsets of each such size. Equal subsets are links as they
   stand, and the smallest set of a subset's list links to every other set that any two of the list could link to: no pairs are needed.
 * Heavy sets are joined by inverted lists over prefixes: in one order of all shingles, two sets that link share one of their first
-  n - ceil(percent * n / 100) + 1. Very frequent shingles come last in that order; they are found by a count over all documents in a table
-  of fixed size (SKETCH counters). The order decides only the cost, never the result.
+  n - ceil(percent * n / 100) + 1, and the first that they share leaves enough after it in both. Rare shingles come first in that order, by
+  a count over all documents in a table of fixed size (SKETCH counters). The order decides only the cost, never the result.
 * The boundary is where subsets get dearer than lists, by the counts of the sets of each size.
 * A list is not expanded into pairs. Each list's smallest set is compared with the others, links are merged into groups, and only lists
-  that still hold sets of different groups go on: again a star (with another centre), and at last the pairs of different groups that have
-  not been compared. So a group of near copies costs about one comparison a member, and no link between different groups is lost.
+  that still hold sets of different groups go on: each set is compared with a few drawn from other groups, as long as that finds links,
+  and at last come the pairs of different groups that have not been compared. So a group of near copies costs a few comparisons a member,
+  and no link between different groups is lost.
 
 Nulls and edges: a null or empty text has size 0 and its own doc_id; a null doc_id never becomes a component's id unless all its members
 are null; rows repeated in full are alike and so in one group; an empty table gives an empty result; extra columns don't matter.
@@ -45,8 +46,8 @@ PARTS = 16
 LIGHT_MOST = 12
 #: A posting costs this many subsets, since what it finds has to be fetched and compared.
 POSTING_COST = 4
-#: Beyond so many open pairs another round of stars comes before they are compared.
-OPEN_PAIRS = 2_000_000
+#: Beyond so many open pairs a member, as many others as DRAWN are drawn for each before all open pairs are compared.
+OPEN_PAIRS, DRAWN = 4, 3
 
 
 def needed(s: int, t: int, percent: int = PERCENT) -> int:
@@ -120,13 +121,7 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     return out.ravel()
 
 
-def _frequent(counts: np.ndarray) -> np.ndarray:
-    """Counters that hold a frequent shingle: well above what as many rare ones would give. Their counts; 0 for the others."""
-    middle = np.median(counts)
-    return np.where(counts > middle + 6 * np.sqrt(middle) + 16, counts, 0)
-
-
-def _nodes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
+def _nodes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """doc_id, rid, n, node (hash of the set), prefix (its first shingles in the common order), light (all shingles of a small set)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +133,7 @@ def _nodes(docs: DataFrame, frequent: np.ndarray, width: int, percent: int) -> D
                 node = np.zeros(n, dtype=np.uint64)
                 np.add.at(node, doc, A.mix(h))
                 node = A.mix(node + size.astype(np.uint64) * A.VALUES[1])
-                weight = frequent[(h % np.uint64(SKETCH)).astype(np.int64)]
+                weight = counts[(h % np.uint64(SKETCH)).astype(np.int64)]
                 order = np.lexsort((h, weight, doc))
                 first = np.cumsum(size) - size
                 place = np.arange(len(doc)) - first[doc]
@@ -219,44 +214,55 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid, n_shingles, component_id for every row of docs."""
-    nodes = cut(_nodes(docs, _frequent(_frequencies(docs, width)), width, percent))
+    nodes = cut(_nodes(docs, _frequencies(docs, width), width, percent))
     by_size = {r["n"]: r["count"] for r in nodes.where((F.col("n") > 0) & (F.col("n") <= 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(by_size, percent)
     links = cut(_subset_links(nodes, boundary, percent))
 
     # inverted lists: sets that can link to a heavy one; each list with its smallest set
     long_enough = 100 * F.col("n") >= percent * (boundary + 1)
-    postings = nodes.where(long_enough).select(F.explode("prefix").alias("token"), "node", "n").dropDuplicates(["token", "node"])
+    postings = nodes.where(long_enough).select(F.posexplode("prefix").alias("place", "token"), "node", "n").dropDuplicates(["token", "node"])
     on = Window.partitionBy("token").orderBy("n", "node")
     ends = on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lists = postings.withColumn("hub", F.first("node").over(ends)).withColumn("hub_n", F.first("n").over(ends)).withColumn("last", F.last("node").over(ends))
-    lists = cut(lists.where("hub <> last").drop("last"))
-    likely = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    pairs = cut(lists.where((F.col("node") != F.col("hub")) & likely(F.col("n"), F.col("hub_n"))).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct())
+    me = F.struct("node", "n", "place")
+    lists = postings.withColumn("hub", F.first(me).over(ends)).withColumn("last", F.last("node").over(ends))
+    lists = cut(lists.where("hub.node <> last").drop("last"))
+
+    def pairs_of(met: DataFrame, one: str, two: str) -> DataFrame:
+        """Distinct pairs of a list's members whose sizes, and what is left from the token on, allow a link."""
+        (n, i), (m, j) = ((F.col(f"{x}.n"), F.col(f"{x}.place")) for x in (one, two))
+        enough = (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
+        x, y = F.col(f"{one}.node"), F.col(f"{two}.node")
+        return met.where((x != y) & enough & (100 * F.least(n, m) >= percent * F.greatest(n, m))).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+    pairs = cut(pairs_of(lists.select("hub", me.alias("me")), "hub", "me"))
     sets = cut(_sets(docs, nodes, lists.select("node").distinct(), width))
-    tested, turn = pairs, 0
+    tested, turn, worth = pairs, 0, True
     links = links.union(cut(_linked(pairs, sets, percent)))
     while True:
         label = components(links)
         turn += 1
-        coloured = lists.select("token", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        coloured = lists.select("token", "node", me.alias("me")).join(label, "node", "left").select("token", "me", F.coalesce("label", "node").alias("label"))
         mixed = coloured.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         open_lists = cut(coloured.join(mixed, "token"))
         classes = open_lists.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        n_open = classes.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if n_open > OPEN_PAIRS and turn < 6:
-            centre = F.min_by(F.struct("node", "n", "label"), F.xxhash64("node", F.lit(turn))).alias("c")
-            met = open_lists.join(open_lists.groupBy("token").agg(centre), "token").where(F.col("label") != F.col("c.label")).select("node", "n", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"))
-        elif n_open:
-            other = open_lists.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            met = open_lists.join(other, "token").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")))
-        else:
+        n_open, n_members = classes.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
+        if not n_open:
             break
-        pairs = met.where(likely(F.col("n"), F.col("other_n"))).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        drawn = n_open > OPEN_PAIRS * n_members and worth
+        if drawn:
+            order = Window.partitionBy("token").orderBy(F.xxhash64("me.node", F.lit(turn)))
+            near = F.array(*[F.lead(F.struct("me", "label"), k).over(order) for k in range(1, DRAWN + 1)])
+            met = open_lists.withColumn("near", near).select("me", "label", F.explode("near").alias("c")).where(F.col("label") != F.col("c.label")).select("me", F.col("c.me").alias("other"))
+        else:
+            other = open_lists.select("token", F.col("me").alias("other"), F.col("label").alias("other_label"))
+            met = open_lists.join(other, "token").where((F.col("me.node") < F.col("other.node")) & (F.col("label") != F.col("other_label")))
+        pairs = pairs_of(met, "me", "other")
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(_linked(pairs, sets, percent))
         links, tested = links.union(found), tested.union(pairs)
-        if n_open <= OPEN_PAIRS or turn >= 6:
+        worth = 10 * found.count() > pairs.count()
+        if not drawn:
             if not found.isEmpty():
                 label = components(links)
             break
