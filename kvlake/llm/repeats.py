@@ -61,7 +61,9 @@ def candidates(docs: DataFrame, units: Units, window: int, gram: int) -> tuple[D
     """
     found = anchors(docs, units, window, gram)
     often = found.groupBy("gram").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most")).where("times > 1")
-    live = cut(found.join(often.select("gram", (F.col("least") == F.col("most")).alias("alike")), "gram"))
+    # a table of its own, so that the join has an exchange on either side and Spark can split a very frequent gram
+    often = cut(often.select("gram", (F.col("least") == F.col("most")).alias("alike")))
+    live = cut(found.join(often, "gram"))
     alike = live.where("alike").select("rid", F.col("low").alias("first"), (F.col("high") + window).alias("last"))
     contests = live.where("not alike").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place", "low", "high")).alias("copy"))
     contests = cut(contests.select("gram", "context", "n", "copy.rid", "copy.place", "copy.low", "copy.high"))
