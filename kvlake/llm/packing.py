@@ -97,7 +97,7 @@ class Tokens:
             self.words.clear()
         if len(self.units) > UNITS:
             self.units.clear()
-        new = list(words - self.words.keys())
+        new = [w for w in words if w not in self.words]
         held = b"\n".join(new).decode()
         if not held.isascii() and not unicodedata.is_normalized("NFC", held):
             held = unicodedata.normalize("NFC", held)
@@ -110,18 +110,16 @@ class Tokens:
         if not new:
             return
         units = self.UNITS.findall(held.lower())
-        self._learn_units(list(set(units) - self.units.keys() - {"\n"}))
         self.units["\n"] = self.BREAK
+        self._learn_units([u for u in set(units) if u not in self.units])
         self.words.update(zip(new, b"".join([self.units[u] for u in units]).split(self.BREAK), strict=True))
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        words = text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self.learn(set(words))
-            return b"".join([self.words[w] for w in words])
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        split = [text.split() for text in texts]
+        self.learn(set().union(*split))
+        held = self.words
+        return [b"".join([held[w] for w in words]) for words in split]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -142,9 +140,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
             for i, j, data, bounds in A.texts(batch["text"]):
                 row, piece, start, size, crc = [], [], [], [], []
                 held = data.tobytes()
-                tokens.learn(set(held.split()))
-                for k in range(j - i):
-                    ids = tokens.ids(held[bounds[k] : bounds[k + 1]]) + end
+                for k, ids in enumerate(tokens.ids([held[bounds[k] : bounds[k + 1]] for k in range(j - i)])):
+                    ids += end
                     for n, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
                         row.append(k)
