@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvlake.llm import decontaminate, langid, lines, packing, passages, quality, setjoin, substrings
+from kvlake.llm import ann, decontaminate, langid, licenses, lines, packing, passages, quality, setjoin, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every document."""
     out = lines.dedup(table(spark, sf_dir, "documents"))
@@ -37,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup(table(spark, sf_dir, "documents"))
 
@@ -52,7 +60,7 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_jaccard, op3_language, op5_lines, op6_packing, op8_passages, op9_quality, op10_leaks)}
+    return {f.__name__: f for f in (op1_substrings, op2_jaccard, op3_language, op4_licenses, op5_lines, op6_packing, op7_neighbours, op8_passages, op9_quality, op10_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
