@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kvlake.llm import arrays as A
 from kvlake.llm.sampling import bounded, held_out
@@ -167,19 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Trees:
 
 
 def score(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
-    """The columns of keep and the score of every row, in one pass without a shuffle."""
-    keep_types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    """row (a struct of the columns of keep) and score of every row, in one pass without a shuffle."""
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in A.texts(batch["text"]):
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, j - i) for c in keep), pa.array(model.score(statistics(data, bounds)))], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, j - i), pa.array(model.score(statistics(data, bounds)))], ["row", "score"])
 
-    columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInArrow(rows, ", ".join(f"`{c}` {keep_types[c]}" for c in keep) + ", score double")
+    return held.mapInArrow(rows, T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, model: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     scored = score(docs, model, ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
