@@ -12,7 +12,7 @@ document its set's size and the least doc_id that links reach.
   n - ceil(percent * n / 100) + 1, and the first that they share leaves enough after it in both. Rare shingles come first in that order, by
   a count over all documents in a table of fixed size (SKETCH counters). The order decides only the cost, never the result.
 * The boundary is where subsets get dearer than lists, by the counts of the sets of each size.
-* A list is not expanded into pairs. Each list's smallest set is compared with the others, links are merged into groups, and only lists
+* A list is not expanded into pairs, and a pair's sets are fetched only if their parities, a few words each, allow a link. Each list's smallest set is compared with the others, links are merged into groups, and only lists
   that still hold sets of different groups go on: each set is compared with a few drawn from other groups, as long as that finds links,
   and at last come the pairs of different groups that have not been compared. So a group of near copies costs a few comparisons a member,
   and no link between different groups is lost.
@@ -24,6 +24,7 @@ are null; rows repeated in full are alike and so in one group; an empty table gi
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -40,8 +41,10 @@ from kvlake.llm.store import cut
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the frequency table: a fixed size, whatever the input.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 PARTS = 16
+#: Bits of a set's parity.
+PARITY = 1_024
 #: No set of more shingles is joined by subsets.
 LIGHT_MOST = 12
 #: A posting costs this many subsets, since what it finds has to be fetched and compared.
@@ -107,18 +110,18 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
                 total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         if total.any():
             task = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "task": pa.array([task] * PARTS, pa.int32()), "counts": [x.tobytes() for x in total.reshape(PARTS, -1)]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "task": pa.array([task] * PARTS, pa.int32()), "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"part": table["part"][:1].cast(pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in table["counts"].to_pylist())
+        return pa.table({"part": table["part"][:1].cast(pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     counts = docs.select("text").mapInArrow(count, "part int, task int, counts binary")
     first = counts.select("part", (F.col("task") % 64).alias("branch"), "counts").groupBy("part", "branch").applyInArrow(add, "part int, counts binary")
     out = np.zeros((PARTS, SKETCH // PARTS), dtype=np.int64)
     for row in first.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out.ravel()
+        out[row["part"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64)
+    return out.ravel().astype(np.float32)  # an order is all that is asked of it
 
 
 def _nodes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -176,39 +179,74 @@ def _subset_links(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label (the least node that it reaches) for all nodes of links (a, b): least labels of neighbours, with shortcuts."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label")))
+    """node, label (one node of each component) for all nodes of links (a, b).
+
+    Each node points to its least neighbour, pointers are followed four deep, and the links are drawn between what they point to, until
+    none is left: the graph shrinks by half or more each time.
+    """
+    edges = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
+    label = None
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = label.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        far = label.select(F.col("node").alias("via"), F.col("label").alias("beyond"))
-        new = cut(new.join(far, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")))
-        if new.where("label <> old").isEmpty():
-            return new.select("node", "label")
-        label = new.select("node", "label")
+        edges = cut(edges)
+        if edges.isEmpty():
+            return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        parent = edges.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("p"))
+        for _ in range(2):
+            above = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+            parent = parent.join(above, "p").select("a", F.col("pp").alias("p"))
+        parent = cut(parent)
+        if label is None:
+            label = parent.select(F.col("a").alias("node"), F.col("p").alias("label"))
+        else:
+            label = cut(label.join(parent, F.col("label") == F.col("a"), "left").select("node", F.coalesce("p", "label").alias("label")))
+        one, two = (parent.select(F.col("a").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
+        edges = edges.join(one, "a").join(two, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+
+
+def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """label with the components of more links between nodes."""
+    if label is None:
+        return components(links)
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    drawn = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    more = components(drawn).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    moved = label.join(more, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    new = more.join(label, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("label"))
+    return cut(moved.union(new))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, shingles of the wanted nodes, from one document of each."""
+    """node, shingles and parity (PARITY bits: how many shingles fall on each, modulo 2) of the wanted nodes, from one document of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in A.texts(batch["text"]):
                 doc, h = shingle_sets(data, bounds, width)
                 offsets = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))], ["node", "shingles"])
+                bits = np.bincount(doc * PARITY + (A.mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=(j - i) * PARITY).reshape(-1, PARITY) & 1
+                words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).ravel()
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, PARITY // 64, dtype=np.int32)), pa.array(words))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), parity], ["node", "shingles", "parity"])
 
     chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     held = docs.select(row_id().alias("rid"), "text").join(chosen, "rid").select("node", "text").dropDuplicates(["node"])
-    return held.mapInArrow(rows, "node long, shingles array<long>")
+    return held.mapInArrow(rows, "node long, shingles array<long>, parity array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    met = pairs.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    """The pairs (a, b) whose sets link.
+
+    Two sets differ in at least as many shingles as their parities differ in bits: pairs for which that is too many go first, and only the
+    others fetch their shingles.
+    """
+    size = F.size("shingles")
+    one, two = (sets.select(F.col("node").alias(x), size.alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    n = F.col("n_a") + F.col("n_b")
+    least = F.ceil(percent * n / (100 + percent))
+    close = cut(pairs.join(two, "b").join(one, "a").where(apart <= n - 2 * least).select("a", "b"))
+    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+    met = close.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return met.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
 
@@ -238,9 +276,8 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     pairs = cut(pairs_of(lists.select("hub", me.alias("me")), "hub", "me"))
     sets = cut(_sets(docs, nodes, lists.select("node").distinct(), width))
     tested, turn, worth = pairs, 0, True
-    links = links.union(cut(_linked(pairs, sets, percent)))
+    label = _merged(None, links.union(cut(_linked(pairs, sets, percent))))
     while True:
-        label = components(links)
         turn += 1
         coloured = lists.select("token", "node", me.alias("me")).join(label, "node", "left").select("token", "me", F.coalesce("label", "node").alias("label"))
         mixed = coloured.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
@@ -260,12 +297,11 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
         pairs = pairs_of(met, "me", "other")
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(_linked(pairs, sets, percent))
-        links, tested = links.union(found), tested.union(pairs)
-        worth = 10 * found.count() > pairs.count()
+        tested = tested.union(pairs)
+        label = _merged(label, found)
         if not drawn:
-            if not found.isEmpty():
-                label = components(links)
             break
+        worth = 4 * found.count() > pairs.count()
 
     known = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_label = known.join(label, "node").groupBy("label").agg(F.min("least").alias("component"))
