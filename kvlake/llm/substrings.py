@@ -1,7 +1,7 @@
 """Substring dedup on bytes: every byte under a string of WINDOW bytes that starts elsewhere too is removed, by suffix arrays.
 
 Anchors (repeats.py) first settle what needs no sorting: text without repeats, and contexts that occur more than once as a whole. The
-contexts left, one copy of each, are dealt to shards by their anchor's gram, since equal windows have equal grams. Each shard sorts the
+contexts left, one copy of each, go on if they share more than their gram with another, and are dealt to shards by their anchor's gram, since equal windows have equal grams. Each shard sorts the
 suffixes of its contexts by external induced sorting (induced.py), whose queues go to disk beyond QUEUE_BYTES, and reads repeated windows
 from common prefixes with the neighbours: a window is repeated where that reaches WINDOW bytes. A shard is worked off in lots of whole
 grams of about LOT_BYTES. A gram with more than GRAM_CONTEXTS contexts is too large for one task; its windows are counted one by one by
@@ -31,13 +31,14 @@ from kvlake.llm.lines import row_id
 from kvlake.llm.store import cut
 
 WINDOW, GRAM = 200, 40
+REACH = (WINDOW + GRAM) // 2
 LOT_BYTES = 1_000_000
 QUEUE_BYTES = 32_000_000
 GRAM_CONTEXTS = 20_000
 
 
 def _contexts(docs: DataFrame, contests: DataFrame) -> DataFrame:
-    """gram, n, rid, low and the bytes of each contested context."""
+    """gram, n, rid, low, the bytes of each contested context, and hashes of what stands right and left of the gram (0: it doesn't reach so far)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,15 +47,29 @@ def _contexts(docs: DataFrame, contests: DataFrame) -> DataFrame:
                 counts = lists.value_lengths().to_numpy()
                 flat = lists.flatten()
                 shift = np.repeat(bounds[:-1], counts)
-                low, high = (flat.field(c).to_numpy() + shift for c in ("low", "high"))
-                held = data.tobytes()
+                place, low, high = (flat.field(c).to_numpy() + shift for c in ("place", "low", "high"))
+                held, rolling = data.tobytes(), A.Rolling(A.VALUES[data])
+                right = np.where(place + REACH <= high + WINDOW, rolling.of(place, np.minimum(place + REACH, len(data))), 0)
+                left = np.where(place + GRAM - REACH >= low, rolling.of(np.maximum(place + GRAM - REACH, 0), place + GRAM), 0)
                 content = [held[a : b + WINDOW] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                 rid = np.repeat(batch["rid"].to_numpy()[i:j], counts)
-                yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("n"), pa.array(rid), flat.field("low"), pa.array(content, pa.binary())], ["gram", "n", "rid", "low", "content"])
+                yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("n"), pa.array(rid), flat.field("low"), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), pa.array(content, pa.binary())], ["gram", "n", "rid", "low", "right", "left", "content"])
 
-    held = contests.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "low", "high")).alias("held"))
+    held = contests.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "place", "low", "high")).alias("held"))
     texts = docs.select(row_id().alias("rid"), "text").join(held, "rid").dropDuplicates(["rid"])
-    return texts.select("rid", "text", "held").mapInArrow(rows, "gram long, n long, rid long, low int, content binary")
+    return texts.select("rid", "text", "held").mapInArrow(rows, "gram long, n long, rid long, low int, right long, left long, content binary")
+
+
+def _close(contexts: DataFrame) -> DataFrame:
+    """The contexts that share more than their gram with another one.
+
+    A window has REACH bytes from the gram's begin on, or as many up to its end, so where neither stands in another context of the gram,
+    no window does.
+    """
+    sides = contexts.select("rid", "low", F.explode(F.array("right", "left")).alias("w")).where("w <> 0")
+    often = sides.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
+    keep = sides.join(often, "w", "left_semi").select("rid", "low").distinct()
+    return contexts.join(keep, ["rid", "low"], "left_semi").select("gram", "n", "rid", "low", "content")
 
 
 def repeated_windows(contents: list[bytes], window: int, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +142,7 @@ def _counted_windows(contexts: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """rid, first, last: bytes [first, last) lie in repeated windows. Spans overlap."""
     spans, contests = R.candidates(docs, R.byte_units, WINDOW, GRAM)
-    contexts = cut(_contexts(docs, contests))
+    contexts = cut(_close(cut(_contexts(docs, contests))))
     large = contexts.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > GRAM_CONTEXTS).select("gram")
     if large.isEmpty():
         return spans.union(cut(_sorted_windows(contexts)))
