@@ -36,17 +36,20 @@ def place() -> F.Column:
     return F.struct("doc_id", "rid", "line")
 
 
-def _intervals(suffixes: DataFrame) -> DataFrame:
-    """The suffixes whose name occurs more than once, with the first place that has it."""
+def _intervals(suffixes: DataFrame, split: bool = False) -> DataFrame:
+    """The suffixes whose name occurs more than once, with the first place that has it.
+
+    split writes the first places before the join, so that it has an exchange on either side and Spark can split a very frequent name.
+    """
     first = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1").drop("n")
-    return suffixes.join(first, "name")
+    return suffixes.join(cut(first) if split else first, "name")
 
 
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """rid, first, last: the lines [first, last) of each document to delete, merged into maximal runs."""
     lines = docs.select("doc_id", row_id().alias("rid"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     suffixes = lines.select("doc_id", "rid", "line", F.xxhash64("content").alias("name"), F.length("content").alias("chars"))
-    level = cut(_intervals(suffixes).repartition("rid").dropDuplicates(["rid", "line"]))
+    level = cut(_intervals(suffixes, split=True).repartition("rid").dropDuplicates(["rid", "line"]))
     marks, step = [], 1
     while not level.isEmpty():
         marks.append(level.where((place() > F.col("first")) & (F.col("chars") >= min_chars)).select("rid", F.col("line").alias("first"), (F.col("line") + step).alias("last")))
