@@ -33,6 +33,8 @@ SAMPLE_ROWS = 10_000
 CENTROIDS = 16
 RECALL = 0.98
 BLOCK, QUERIES = 4_000, 20_000
+#: Queries that are compared with a block at once, so that the scores held stay small.
+SLICE = 500
 
 
 def entries(vectors: DataFrame, nearest: int) -> DataFrame:
@@ -164,12 +166,16 @@ def search(vectors: DataFrame, every: int = EVERY, nearest: int = NEAREST) -> Da
         if not one.num_rows or not two.num_rows:
             return schema.empty_table()
         v, q = (np.array(t["vector"].to_pylist(), dtype=np.float64) for t in (one, two))
-        score = (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1))
-        # all that tie with the last place stay: ids decide later
-        k = min(nearest + 1, len(v))
-        last = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        i, j = np.nonzero(score >= last)
-        return pa.table([two["query"].to_numpy()[i], one["h"].to_numpy()[j], score[i, j]], schema=schema)
+        lengths, k = np.linalg.norm(v, axis=1), min(nearest + 1, len(v))
+        query, entry, found = two["query"].to_numpy(), one["h"].to_numpy(), []
+        for at in range(0, len(q), SLICE):
+            some = q[at : at + SLICE]
+            score = (some @ v.T) / (np.linalg.norm(some, axis=1)[:, None] * lengths)
+            # all that tie with the last place stay: ids decide later
+            last = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            i, j = np.nonzero(score >= last)
+            found.append(pa.table([query[at + i], entry[j], score[i, j]], schema=schema))
+        return pa.concat_tables(found)
 
     salt = F.pmod(F.xxhash64("h"), F.element_at(F.create_map(*[F.lit(x) for c, n in blocks.items() for x in (c, n)]), F.col("cell"))).cast("int")
     left = placed.withColumn("block", salt).withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
