@@ -315,9 +315,7 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each group stays (the least doc_id); texts without words all stay."""
     found = cut(groups(docs).where("n_shingles > 0"))
-    order = Window.partitionBy("component_id").orderBy("doc_id", "rid")
-    gone = found.select("rid", "doc_id", "component_id", F.row_number().over(order).alias("place"))
-    stay = gone.where("place = 1").select("rid").distinct()
+    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("first.rid").distinct()
     gone = cut(found.select("rid").distinct().join(stay, "rid", "left_anti").select(F.col("rid").alias("gone_rid")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("rid")).join(gone, F.col("rid") == F.col("gone_rid"), "left_anti")
     if not found.groupBy("rid").count().where("count > 1").isEmpty():  # rows repeated in full
