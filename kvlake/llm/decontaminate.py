@@ -1,12 +1,13 @@
 """Benchmark decontamination: documents that hold benchmark items, word for word or with other numbers, names and units.
 
-Template canonicalisation: a text's words (runs of letters and digits) keep their place; those that begin with a digit become a number
-slot, those that begin with a capital a name slot, and units of measure a unit slot. Windows of WINDOW template words are hashed. All
-windows of all documents are joined with the items' windows, matches are gathered by document, item and diagonal (place in the document
-less place in the item), and a match counts as a leak if it spans at least MIN_WORDS words (or the whole item, if that is shorter) and its
-slots are consistent: each value of the item stands for one value of the document and the other way round, which holds for copies and
-for re-parameterised questions, not for chance meetings of templates. Item windows with more than half of their words in slots are left
-out as too vague, unless the item has no other.
+Template canonicalisation: a text's words (runs of letters and digits) keep their place and lose their case; those that begin with a digit
+become a number slot, those that begin with a capital a name slot (not in a text without small letters, where capitals tell nothing), and
+units of measure a unit slot. Windows of WINDOW template words are hashed, and windows of the plain words beside them, which find copies
+in any case. All windows of all documents are joined with the items' windows, matches are gathered by document, item and diagonal (place
+in the document less place in the item), and a match counts as a leak if it spans at least MIN_WORDS words (or the whole item, if that is
+shorter) and its slots are consistent: each value of the item stands for one value of the document and the other way round, which holds
+for copies and for re-parameterised questions, not for chance meetings of templates. Template windows of items with more than half of
+their words in slots are left out as too vague, unless the item has no other; their plain windows count.
 
 Nulls and edges: null and empty texts have no windows; documents or items of under WINDOW words have none either and never match; null ids
 are carried; rows repeated in full are reported once; empty tables give an empty result; extra columns are ignored.
@@ -36,44 +37,49 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def template(words: Column) -> Column:
-    """Slots as negative numbers, other words as hashes."""
+def with_words(rows: DataFrame) -> DataFrame:
+    """rows with words (of text, without case), plain (their hashes) and names (the same with slots as negative numbers)."""
+    rows = rows.withColumn("cased", tokens(F.col("text"))).withColumn("telling", F.col("text").rlike(r"\p{Ll}"))
+    rows = rows.withColumn("words", F.transform("cased", lambda w: F.lower(F.upper(w))))
+    rows = rows.withColumn("plain", F.transform("words", lambda w: F.shiftrightunsigned(F.xxhash64(w), 1)))
 
-    def canonical(w: Column) -> Column:
-        first = F.ascii(w)
+    def slot(cased: Column, i: Column) -> Column:
+        first = F.ascii(cased)
         return (
             F.when(first.between(48, 57), F.lit(NUMBER).cast("long"))
-            .when(first.between(65, 90) | first.between(192, 222), F.lit(NAME).cast("long"))
-            .when(w.isin(*UNITS), F.lit(UNIT).cast("long"))
-            .otherwise(F.shiftrightunsigned(F.xxhash64(w), 1))
+            .when(F.col("telling") & (first.between(65, 90) | first.between(192, 222)), F.lit(NAME).cast("long"))
+            .when(F.get("words", i).isin(*UNITS), F.lit(UNIT).cast("long"))
+            .otherwise(F.get("plain", i))
         )
 
-    return F.transform(words, canonical)
+    return rows.withColumn("names", F.transform("cased", slot)).drop("text", "cased", "telling")
 
 
 def with_windows(rows: DataFrame) -> DataFrame:
-    """rows with names (template words) and windows: the hash of the WINDOW names from each place that has as many.
+    """rows with windows: the hash of the WINDOW names from each place that has as many, and then of the WINDOW plain words (null where equal).
 
     Rows of fewer words have no windows; an outer explode keeps Spark from computing them once more as a filter. Hashes of pairs, then of pairs of pairs, and so on; each level is a column of its own, so that it is computed once.
     """
-    rows, step = rows.withColumn("names", template(F.col("words"))), 1
-    rows = rows.withColumn("windows", F.col("names"))
+    rows, step = rows.withColumn("typed", F.col("names")).withColumn("verbatim", F.col("plain")), 1
     while step < WINDOW:
-        rows = rows.withColumn("size", F.greatest(F.size("windows") - step, F.lit(0)))
-        rows = rows.withColumn("windows", F.zip_with(F.slice("windows", F.lit(1), F.col("size")), F.slice("windows", F.lit(step + 1), F.col("size")), lambda a, b: F.xxhash64(a, b)))
+        rows = rows.withColumn("size", F.greatest(F.size("typed") - step, F.lit(0)))
+        for c in ("typed", "verbatim"):
+            rows = rows.withColumn(c, F.zip_with(F.slice(c, F.lit(1), F.col("size")), F.slice(c, F.lit(step + 1), F.col("size")), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return rows.drop("size")
+    return rows.withColumn("windows", F.concat("typed", F.zip_with("typed", "verbatim", lambda a, b: F.when(a != b, b)))).withColumn("size", F.size("typed")).drop("typed", "verbatim", "plain")
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """window, item_id, item_words, at, names and words of each template window of the items."""
-    items = with_windows(benchmark.select("item_id", tokens(F.col("text")).alias("words")))
-    rows = items.select("item_id", F.size("words").alias("item_words"), "words", "names", F.posexplode_outer("windows").alias("at", "window"))
+    """window, item_id, item_words, at, words and slots of each window of the items."""
+    items = with_windows(with_words(benchmark.select("item_id", "text")))
+    rows = items.select("item_id", F.size("words").alias("item_words"), "words", "names", "size", F.posexplode_outer("windows").alias("pos", "window"))
+    rows = rows.withColumn("at", F.col("pos") % F.col("size"))
     rows = rows.select(
-        "window", "item_id", "item_words", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("item_slice"), F.transform(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x < 0).alias("slots")
-    ).withColumn("vague", F.size(F.filter("slots", lambda s: s)) > WINDOW // 2)
-    clear = rows.groupBy("item_id").agg(F.min("vague").alias("all_vague"))
-    return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where("all_vague or not vague").drop(clear.item_id).drop("vague", "all_vague").dropDuplicates(["window", "item_id", "at"])
+        "window", "item_id", "item_words", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("item_slice"), F.transform(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x < 0).alias("slots"),
+        (F.col("pos") >= F.col("size")).alias("verbatim"),
+    ).withColumn("vague", ~F.col("verbatim") & (F.size(F.filter("slots", lambda s: s)) > WINDOW // 2))
+    clear = rows.groupBy("item_id").agg(F.min(F.when(~F.col("verbatim"), F.col("vague"))).alias("all_vague"))
+    return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where("all_vague or not vague").drop(clear.item_id).drop("vague", "verbatim", "all_vague").dropDuplicates(["window", "item_id", "at"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -81,8 +87,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) ->
     items = item_windows(benchmark).where("window is not null")
     if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
-    texts = with_windows(docs.select("doc_id", row_id().alias("rid"), tokens(F.col("text")).alias("words")))
-    places = texts.select("doc_id", "rid", "words", F.posexplode_outer("windows").alias("place", "window"))
+    texts = with_windows(with_words(docs.select("doc_id", row_id().alias("rid"), "text")))
+    places = texts.select("doc_id", "rid", "words", "size", F.posexplode_outer("windows").alias("pos", "window"))
+    places = places.withColumn("place", F.col("pos") % F.col("size")).drop("pos", "size")
     met = places.join(items, "window").select(
         "rid", "doc_id", "item_id", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"),
         F.filter(F.arrays_zip("item_slice", F.slice("words", F.col("place") + 1, WINDOW).alias("doc_slice"), "slots"), lambda x: x["slots"]).alias("pairs"),

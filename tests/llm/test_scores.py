@@ -195,3 +195,11 @@ def test_stages_of_odd_tables(spark, name, stage):
     docs = brute.frame(spark, TEXTS, [None, *range(1, len(TEXTS))])
     assert stage(spark, docs, SF).count() >= 0
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_leaks_in_any_case(spark):
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    texts = [ITEM.upper(), "bla " * 30 + ITEM.upper(), ITEM.lower(), ITEM.title(), "NOTHING HERE OF INTEREST TO ANYONE " * 5, "One Two Three " * 20]
+    found = decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()
+    assert {r["doc_id"]: r["n_words"] for r in found} == {i: 23 for i in range(4)}
+    assert not any(r["reparameterised"] for r in found)
