@@ -252,6 +252,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, rid, n_shingles, component_id for every row of docs."""
+    return labelled(docs, width, percent).drop("label")
+
+
+def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """groups() with label, which tells groups apart even where their ids are null or equal; null for texts without words."""
     nodes = cut(_nodes(docs, _frequencies(docs, width), width, percent))
     by_size = {r["n"]: r["count"] for r in nodes.where((F.col("n") > 0) & (F.col("n") <= 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(by_size, percent)
@@ -305,17 +310,17 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
     known = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_label = known.join(label, "node").groupBy("label").agg(F.min("least").alias("component"))
-    far = label.join(by_label, "label").select("node", "component")
-    least = known.join(far, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
+    far = label.join(by_label, "label").select("node", "label", "component")
+    least = known.join(far, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("component", "least").alias("component_id"))
     return nodes.select("doc_id", "rid", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(least, "node", "left").select(
-        "doc_id", "rid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "rid", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "label"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, of which one of each group stays (the least doc_id); texts without words all stay."""
-    found = cut(groups(docs).where("n_shingles > 0"))
-    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("first.rid").distinct()
+    found = cut(labelled(docs).where("n_shingles > 0"))
+    stay = found.groupBy("label").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("first.rid").distinct()
     gone = cut(found.select("rid").distinct().join(stay, "rid", "left_anti").select(F.col("rid").alias("gone_rid")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("rid")).join(gone, F.col("rid") == F.col("gone_rid"), "left_anti")
     if not found.groupBy("rid").count().where("count > 1").isEmpty():  # rows repeated in full

@@ -58,6 +58,16 @@ def test_one_of_each_keeps_columns_and_drops_equal_rows(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 4, 5, 6]
 
 
+def test_one_of_each_tells_groups_apart_without_ids(spark):
+    """Unrelated texts of null ids, unrelated texts of one id, and near copies of null ids."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    texts = [text(0), text(1), text(2), text(3), text(4), text(5), text(5) + " end", text(6), text(6) + " end", ""]
+    ids = [None, None, None, 7, 7, None, None, 8, 9, None]
+    left = [r["text"] for r in setjoin.one_of_each(brute.frame(spark, texts, ids)).collect()]
+    assert sorted(t for t in left if t not in texts[5:7]) == sorted([*texts[:5], texts[7], ""])
+    assert len([t for t in left if t in texts[5:7]]) == 1
+
+
 def test_boundary_follows_cost():
     assert setjoin.choose_boundary({}) == 0
     assert setjoin.choose_boundary({4: 1000}) >= 4
