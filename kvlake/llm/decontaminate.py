@@ -4,10 +4,12 @@ Template canonicalisation: a text's words (runs of letters and digits) keep thei
 become a number slot, those that begin with a capital a name slot (not in a text without small letters, where capitals tell nothing), and
 units of measure a unit slot. Windows of WINDOW template words are hashed, and windows of the plain words beside them, which find copies
 in any case. All windows of all documents are joined with the items' windows, matches are gathered by document, item and diagonal (place
-in the document less place in the item), and a match counts as a leak if it spans at least MIN_WORDS words (or the whole item, if that is
-shorter) and its slots are consistent: each value of the item stands for one value of the document and the other way round, which holds
-for copies and for re-parameterised questions, not for chance meetings of templates. Template windows of items with more than half of
-their words in slots are left out as too vague, unless the item has no other; their plain windows count.
+in the document less place in the item), and a match counts as a leak if at least MIN_WORDS words (or the whole item, if that is shorter)
+are covered by windows whose slots are consistent: each value of the item stands for one value of the document, which holds for copies
+and for re-parameterised questions, not for chance meetings of templates. Where a value stands for several, either the windows over all
+but its most frequent one are left out, like those over any changed word, or a stretch within which it stands for one is taken, whichever
+covers more. Template windows of items with more than half of their words in slots are left out as too vague, unless the item has no
+other; their plain windows count.
 
 Nulls and edges: null and empty texts have no windows; documents or items of under WINDOW words have none either and never match; null ids
 are carried; rows repeated in full are reported once; empty tables give an empty result; extra columns are ignored.
@@ -82,6 +84,45 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where("all_vague or not vague").drop(clear.item_id).drop("vague", "verbatim", "all_vague").dropDuplicates(["window", "item_id", "at"])
 
 
+def covered(places: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + WINDOW - 1))))
+
+
+def consistent(runs: DataFrame) -> DataFrame:
+    """runs (places of windows on a diagonal, and pairs of values a of the item and b of the document at slots p) with n_words and n_windows, and pairs of what is consistent.
+
+    n_words is the number of words covered by windows without the lesser pairs of values, or the longest stretch of covered words without a conflict.
+    """
+    value = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
+    runs = runs.withColumn("values", F.array_distinct(F.transform("pairs", value)))
+    clash = F.size(F.array_distinct(F.transform("values", lambda v: v["a"]))) < F.size("values")
+    counted = F.transform("values", lambda v: F.struct(v["a"].alias("a"), v["b"].alias("b"), F.size(F.filter("pairs", lambda x: value(x) == v)).alias("n")))
+    runs = runs.withColumn("counted", F.when(clash, counted))
+    more = lambda v, w: (v["a"] == w["a"]) & ((w["n"] > v["n"]) | ((w["n"] == v["n"]) & (w["b"] < v["b"])))
+    runs = runs.withColumn("lesser", F.transform(F.filter("counted", lambda v: F.exists("counted", lambda w: more(v, w))), value))
+    runs = runs.withColumn("bad", F.transform(F.filter("pairs", lambda x: F.array_contains("lesser", value(x))), lambda x: x["p"]))
+    runs = runs.withColumn("left", F.when(F.col("bad").isNull(), F.col("places")).otherwise(F.filter("places", lambda at: ~F.exists("bad", lambda p: p.between(at, at + WINDOW - 1)))))
+    runs = runs.withColumn("all_words", F.array_sort(covered(F.col("places"))))
+
+    # a word's stretch begins after the last gap, and after the last earlier pair that conflicts with one of the stretch
+    def step(state: Column, p: Column) -> Column:
+        here = F.filter("pairs", lambda x: x["p"] == p)
+        against = F.filter("pairs", lambda y: (y["p"] < p) & F.exists(here, lambda x: (x["a"] == y["a"]) & (x["b"] != y["b"])))
+        first = F.greatest(F.when(state["last"] == p - 1, state["first"]).otherwise(p), F.array_max(F.transform(against, lambda y: y["p"] + 1)))
+        longer = p - first + 1 > state["to"] - state["from"]
+        return F.struct(p.alias("last"), first.alias("first"), F.when(longer, first).otherwise(state["from"]).alias("from"), F.when(longer, p + 1).otherwise(state["to"]).alias("to"))
+
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("first"), F.lit(0).alias("from"), F.lit(0).alias("to"))
+    runs = runs.withColumn("stretch", F.when(F.col("bad").isNotNull(), F.aggregate("all_words", zero, step)))
+    runs = runs.withColumn("n_left", F.when(F.col("bad").isNull(), F.size("all_words")).otherwise(F.size(covered(F.col("left")))))
+    runs = runs.withColumn("n_stretch", F.coalesce(F.col("stretch.to") - F.col("stretch.from"), F.lit(0)))
+    by_stretch = F.col("n_stretch") > F.col("n_left")
+    inside = lambda at: (at >= F.col("stretch.from")) & (at + WINDOW <= F.col("stretch.to"))
+    left = F.when(by_stretch, F.filter("places", inside)).otherwise(F.col("left"))
+    held = lambda x: F.when(by_stretch, (x["p"] >= F.col("stretch.from")) & (x["p"] < F.col("stretch.to"))).otherwise(F.exists("left", lambda at: x["p"].between(at, at + WINDOW - 1)))
+    return runs.withColumn("n_words", F.greatest("n_left", "n_stretch")).withColumn("n_windows", F.size(left)).withColumn("pairs", F.filter("pairs", held))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, item_id, n_windows, n_words (of the longest match), share (of the item), reparameterised, for each leaked pair."""
     items = item_windows(benchmark).where("window is not null")
@@ -92,15 +133,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) ->
     places = places.withColumn("place", F.col("pos") % F.col("size")).drop("pos", "size")
     met = places.join(items, "window").select(
         "rid", "doc_id", "item_id", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"),
-        F.filter(F.arrays_zip("item_slice", F.slice("words", F.col("place") + 1, WINDOW).alias("doc_slice"), "slots"), lambda x: x["slots"]).alias("pairs"),
+        F.filter(F.transform(F.arrays_zip("item_slice", F.slice("words", F.col("place") + 1, WINDOW).alias("doc_slice"), "slots"), lambda x, i: F.struct((F.col("at") + i).alias("p"), x["item_slice"].alias("a"), x["doc_slice"].alias("b"), x["slots"].alias("slot"))), lambda x: x["slot"]).alias("pairs"),
     )
-    pairs = F.array_distinct(F.flatten(F.collect_set("pairs")))
-    runs = met.groupBy("rid", "doc_id", "item_id", "item_words", "diagonal").agg(F.count_distinct("at").alias("n_windows"), F.min("at").alias("low"), F.max("at").alias("high"), pairs.alias("pairs"))
-    values = lambda k: F.size(F.array_distinct(F.transform("pairs", lambda x: x[k])))
-    # overlapping windows cover n + WINDOW - 1 words if unbroken, more if not; n_words never counts beyond what they cover
-    runs = runs.withColumn("n_words", F.least(F.col("high") - F.col("low") + WINDOW, F.col("n_windows") * WINDOW, F.col("n_windows") + 3 * (WINDOW - 1)))
-    runs = runs.where((values("item_slice") == F.size("pairs")) & (values("doc_slice") == F.size("pairs")) & (F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words"))))
-    other = F.exists("pairs", lambda x: x["item_slice"] != x["doc_slice"])
+    runs = met.groupBy("rid", "doc_id", "item_id", "item_words", "diagonal").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    runs = consistent(runs).where(F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words")))
+    other = F.exists("pairs", lambda x: x["a"] != x["b"])
     best = runs.groupBy("rid", "doc_id", "item_id").agg(F.max(F.struct("n_words", "n_windows", F.round(F.col("n_words") / F.col("item_words"), 4).alias("share"), other.alias("other"))).alias("best"))
     return best.select("rid", "doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.share").alias("share"), F.col("best.other").alias("reparameterised"))
 

@@ -203,3 +203,14 @@ def test_leaks_in_any_case(spark):
     found = decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()
     assert {r["doc_id"]: r["n_words"] for r in found} == {i: 23 for i in range(4)}
     assert not any(r["reparameterised"] for r in found)
+
+
+def test_leaks_with_a_changed_occurrence(spark):
+    words = "the clerk counts {} crates on the first day and then again {} crates on the second day before the manager of the store writes down {} crates in the large book".split()
+    text = lambda *values: " ".join(words).format(*values)
+    sums = lambda *values: "if a farmer sells {} red hens at noon and buys back {} brown ones later how many of all his {} birds are left".format(*values)
+    benchmark = spark.createDataFrame([(1, text(3, 3, 3)), (2, sums(3, 4, 6))], "item_id long, text string")
+    texts = [text(3, 3, 8), text(9, 9, 9), sums(5, 5, 7), sums(3, 4, 6)]
+    got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["reparameterised"]) for r in decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()}
+    n, m = len(words), len(sums(1, 2, 3).split())
+    assert got == {(0, 1): (words.index("writes") + 2, False), (1, 1): (n, True), (2, 2): (m, True), (3, 2): (m, False)}
