@@ -8,11 +8,11 @@ in the document less place in the item), and a match counts as a leak if at leas
 are covered by windows whose slots are consistent: each value of the item stands for one value of the document, which holds for copies
 and for re-parameterised questions, not for chance meetings of templates. Where a value stands for several, either the windows over all
 but its most frequent one are left out, like those over any changed word, or a stretch within which it stands for one is taken, whichever
-covers more. Template windows of items with more than half of their words in slots are left out as too vague, unless the item has no
-other; their plain windows count.
+covers more. Template windows of items with less than half of WINDOW words outside slots are left out as too vague, unless an item of
+WINDOW words or more has no other; their plain windows count. Items of fewer than WINDOW words have one window of their whole length, and
+documents have windows of each such length.
 
-Nulls and edges: null and empty texts have no windows; documents or items of under WINDOW words have none either and never match; null ids
-are carried; rows repeated in full are reported once; empty tables give an empty result; extra columns are ignored.
+Nulls and edges: null and empty texts have no windows and never match; null ids are carried; rows repeated in full are reported once; empty tables give an empty result; extra columns are ignored.
 
 Everything is DataFrame functions. The items' windows are broadcast only while they are at most BROADCAST_ROWS, counted first; beyond that
 the join shuffles. Matches are aggregated per document before any shuffle.
@@ -68,24 +68,36 @@ def with_windows(rows: DataFrame) -> DataFrame:
         for c in ("typed", "verbatim"):
             rows = rows.withColumn(c, F.zip_with(F.slice(c, F.lit(1), F.col("size")), F.slice(c, F.lit(step + 1), F.col("size")), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    return rows.withColumn("windows", F.concat("typed", F.zip_with("typed", "verbatim", lambda a, b: F.when(a != b, b)))).withColumn("size", F.size("typed")).drop("typed", "verbatim", "plain")
+    return rows.withColumn("windows", F.concat("typed", F.zip_with("typed", "verbatim", lambda a, b: F.when(a != b, b)))).withColumn("size", F.size("typed")).drop("typed", "verbatim")
+
+
+def short_windows(n: int) -> Column:
+    """The windows of n words, under WINDOW, as with_windows has them."""
+    starts = F.when(F.size("names") >= n, F.sequence(F.lit(1), F.size("names") - n + 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda c: F.transform(starts, lambda i: F.xxhash64(F.lit(n), F.slice(c, i, n)))
+    typed, verbatim = of("names"), of("plain")
+    return F.concat(typed, F.zip_with(typed, verbatim, lambda a, b: F.when(a != b, b)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """window, item_id, item_words, at, words and slots of each window of the items."""
     items = with_windows(with_words(benchmark.select("item_id", "text")))
-    rows = items.select("item_id", F.size("words").alias("item_words"), "words", "names", "size", F.posexplode_outer("windows").alias("pos", "window"))
+    n = F.size("words")
+    short = n.between(1, WINDOW - 1)
+    typed, verbatim = F.xxhash64(n, "names"), F.xxhash64(n, "plain")
+    items = items.withColumn("windows", F.when(short, F.array(typed, F.when(typed != verbatim, verbatim))).otherwise(F.col("windows"))).withColumn("size", F.when(short, 1).otherwise(F.col("size")))
+    rows = items.select("item_id", n.alias("item_words"), "words", "names", "size", F.posexplode_outer("windows").alias("pos", "window"))
     rows = rows.withColumn("at", F.col("pos") % F.col("size"))
     rows = rows.select(
         "window", "item_id", "item_words", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("item_slice"), F.transform(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x < 0).alias("slots"),
         (F.col("pos") >= F.col("size")).alias("verbatim"),
-    ).withColumn("vague", ~F.col("verbatim") & (F.size(F.filter("slots", lambda s: s)) > WINDOW // 2))
+    ).withColumn("vague", ~F.col("verbatim") & (F.size(F.filter("slots", lambda s: ~s)) < WINDOW // 2))
     clear = rows.groupBy("item_id").agg(F.min(F.when(~F.col("verbatim"), F.col("vague"))).alias("all_vague"))
-    return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where("all_vague or not vague").drop(clear.item_id).drop("vague", "verbatim", "all_vague").dropDuplicates(["window", "item_id", "at"])
+    return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where(f"not vague or all_vague and item_words >= {WINDOW}").drop(clear.item_id).drop("vague", "verbatim", "all_vague").dropDuplicates(["window", "item_id", "at"])
 
 
 def covered(places: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + WINDOW - 1))))
+    return F.array_distinct(F.flatten(F.transform(places, lambda at: F.sequence(at, at + F.col("width") - 1))))
 
 
 def consistent(runs: DataFrame) -> DataFrame:
@@ -93,6 +105,7 @@ def consistent(runs: DataFrame) -> DataFrame:
 
     n_words is the number of words covered by windows without the lesser pairs of values, or the longest stretch of covered words without a conflict.
     """
+    runs = runs.withColumn("width", F.least(F.lit(WINDOW), F.col("item_words")))
     value = lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))
     runs = runs.withColumn("values", F.array_distinct(F.transform("pairs", value)))
     clash = F.size(F.array_distinct(F.transform("values", lambda v: v["a"]))) < F.size("values")
@@ -101,7 +114,7 @@ def consistent(runs: DataFrame) -> DataFrame:
     more = lambda v, w: (v["a"] == w["a"]) & ((w["n"] > v["n"]) | ((w["n"] == v["n"]) & (w["b"] < v["b"])))
     runs = runs.withColumn("lesser", F.transform(F.filter("counted", lambda v: F.exists("counted", lambda w: more(v, w))), value))
     runs = runs.withColumn("bad", F.transform(F.filter("pairs", lambda x: F.array_contains("lesser", value(x))), lambda x: x["p"]))
-    runs = runs.withColumn("left", F.when(F.col("bad").isNull(), F.col("places")).otherwise(F.filter("places", lambda at: ~F.exists("bad", lambda p: p.between(at, at + WINDOW - 1)))))
+    runs = runs.withColumn("left", F.when(F.col("bad").isNull(), F.col("places")).otherwise(F.filter("places", lambda at: ~F.exists("bad", lambda p: p.between(at, at + F.col("width") - 1)))))
     runs = runs.withColumn("all_words", F.array_sort(covered(F.col("places"))))
 
     # a word's stretch begins after the last gap, and after the last earlier pair that conflicts with one of the stretch
@@ -117,19 +130,22 @@ def consistent(runs: DataFrame) -> DataFrame:
     runs = runs.withColumn("n_left", F.when(F.col("bad").isNull(), F.size("all_words")).otherwise(F.size(covered(F.col("left")))))
     runs = runs.withColumn("n_stretch", F.coalesce(F.col("stretch.to") - F.col("stretch.from"), F.lit(0)))
     by_stretch = F.col("n_stretch") > F.col("n_left")
-    inside = lambda at: (at >= F.col("stretch.from")) & (at + WINDOW <= F.col("stretch.to"))
+    inside = lambda at: (at >= F.col("stretch.from")) & (at + F.col("width") <= F.col("stretch.to"))
     left = F.when(by_stretch, F.filter("places", inside)).otherwise(F.col("left"))
-    held = lambda x: F.when(by_stretch, (x["p"] >= F.col("stretch.from")) & (x["p"] < F.col("stretch.to"))).otherwise(F.exists("left", lambda at: x["p"].between(at, at + WINDOW - 1)))
+    held = lambda x: F.when(by_stretch, (x["p"] >= F.col("stretch.from")) & (x["p"] < F.col("stretch.to"))).otherwise(F.exists("left", lambda at: x["p"].between(at, at + F.col("width") - 1)))
     return runs.withColumn("n_words", F.greatest("n_left", "n_stretch")).withColumn("n_windows", F.size(left)).withColumn("pairs", F.filter("pairs", held))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, item_id, n_windows, n_words (of the longest match), share (of the item), reparameterised, for each leaked pair."""
     items = item_windows(benchmark).where("window is not null")
+    lengths = [r[0] for r in items.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
     if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     texts = with_windows(with_words(docs.select("doc_id", row_id().alias("rid"), "text")))
     places = texts.select("doc_id", "rid", "words", "size", F.posexplode_outer("windows").alias("pos", "window"))
+    for n in lengths:
+        places = places.union(texts.select("doc_id", "rid", "words", F.greatest(F.size("words") - n + 1, F.lit(0)).alias("size"), F.posexplode_outer(short_windows(n)).alias("pos", "window")))
     places = places.withColumn("place", F.col("pos") % F.col("size")).drop("pos", "size")
     met = places.join(items, "window").select(
         "rid", "doc_id", "item_id", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"),

@@ -214,3 +214,12 @@ def test_leaks_with_a_changed_occurrence(spark):
     got = {(r["doc_id"], r["item_id"]): (r["n_words"], r["reparameterised"]) for r in decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()}
     n, m = len(words), len(sums(1, 2, 3).split())
     assert got == {(0, 1): (words.index("writes") + 2, False), (1, 1): (n, True), (2, 2): (m, True), (3, 2): (m, False)}
+
+
+def test_leaks_of_short_and_number_heavy_items(spark):
+    items = ["who wrote the old green book", "find the sum of the numbers 12 45 67 89 23 56 78 90 11", "Otto Hahn", "how far is it to 7 towns"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [*items, *("so I ask you " + t.upper() + " and that is all" for t in items), "how far is it to 9 towns", "who wrote the old blue book", "Otto Braun", "Otto", "numbers 1 2 3 4 5 6 7 8 9 10 11 12"]
+    got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()}
+    n = [len(t.split()) for t in items]
+    assert got == {(d, d % 4, n[d % 4]) for d in range(8)} | {(8, 3, n[3])}
