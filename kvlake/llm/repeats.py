@@ -59,7 +59,7 @@ def candidates(docs: DataFrame, units: Units, window: int, gram: int) -> tuple[D
     spans: rid, first, last of contexts that occur more than once: units [first, last) lie in repeated windows.
     contests: gram, context, n, rid, place, low, high: one copy of each context of the grams that have several contexts; n is how often it occurs.
     """
-    found = anchors(docs, units, window, gram)
+    found = cut(anchors(docs, units, window, gram))
     often = found.groupBy("gram").agg(F.count("*").alias("times"), F.min("context").alias("least"), F.max("context").alias("most")).where("times > 1")
     # a table of its own, so that the join has an exchange on either side and Spark can split a very frequent gram
     often = cut(often.select("gram", (F.col("least") == F.col("most")).alias("alike")))
@@ -67,7 +67,7 @@ def candidates(docs: DataFrame, units: Units, window: int, gram: int) -> tuple[D
     alike = live.where("alike").select("rid", F.col("low").alias("first"), (F.col("high") + window).alias("last"))
     contests = live.where("not alike").groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place", "low", "high")).alias("copy"))
     contests = cut(contests.select("gram", "context", "n", "copy.rid", "copy.place", "copy.low", "copy.high"))
-    copied = contests.where("n > 1").select("gram", "context")
+    copied = cut(contests.where("n > 1").select("gram", "context"))
     same = live.where("not alike").join(copied, ["gram", "context"], "left_semi").select("rid", F.col("low").alias("first"), (F.col("high") + window).alias("last"))
     return alike.union(same), contests
 

@@ -1,22 +1,23 @@
 """Substring dedup on bytes: every byte under a string of WINDOW bytes that starts elsewhere too is removed, by suffix arrays.
 
-Anchors (repeats.py) first settle what needs no sorting: text without repeats, and contexts that occur more than once as a whole. The
-contexts left, one copy of each, go on if they share more than their gram with another, and are dealt to shards by their anchor's gram, since equal windows have equal grams. Each shard sorts the
-suffixes of its contexts by external induced sorting (induced.py), whose queues go to disk beyond QUEUE_BYTES, and reads repeated windows
-from common prefixes with the neighbours: a window is repeated where that reaches WINDOW bytes. A shard is worked off in lots of whole
-grams of about LOT_BYTES. A gram with more than GRAM_CONTEXTS contexts is too large for one task; its windows are counted one by one by
-their hashes, across all tasks.
+Anchors (repeats.py) first settle what needs no sorting: text without repeats, and contexts that occur more than once as a whole. Of the
+contexts left, one copy of each goes on, in two pieces: the windows that have REACH bytes from the gram's begin on, and those that have as
+many up to its end. Equal windows are in pieces that share those bytes, so pieces are dealt to shards by them, and a piece that shares
+them with no other is done. Each shard is written to a file of its task and sorted by external induced sorting (induced.py), whose queues
+go to disk beyond QUEUE_BYTES, and a window is repeated where the common prefix with a neighbour reaches WINDOW bytes. A shard of more
+than LOT_BYTES is sorted in lots that end where the shared bytes change; a lot has no upper bound, as sorting needs no memory in proportion.
 
 Strings never cross documents and are judged on the input; the same document and overlapping copies count. Result: doc_id, n_bytes,
 n_removed, n_spans (maximal removed runs), kept_sha256.
 
 Nulls and edges: a null text is empty; null ids are carried; rows repeated in full are each other's copies; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored, whatever their names. A text is worked on as a whole, with some ten arrays of its length in a task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,18 @@ from pyspark.sql import functions as F
 
 from kvlake.llm import arrays as A
 from kvlake.llm import repeats as R
-from kvlake.llm.induced import suffixes
+from kvlake.llm.induced import CAP, chunks, suffixes
 from kvlake.llm.lines import row_id
 from kvlake.llm.store import cut
 
 WINDOW, GRAM = 200, 40
 REACH = (WINDOW + GRAM) // 2
-LOT_BYTES = 1_000_000
+LOT_BYTES = 16_000_000
 QUEUE_BYTES = 32_000_000
-GRAM_CONTEXTS = 20_000
 
 
-def _contexts(docs: DataFrame, contests: DataFrame) -> DataFrame:
-    """gram, n, rid, low, the bytes of each contested context, and hashes of what stands right and left of the gram (0: it doesn't reach so far)."""
+def _pieces(docs: DataFrame, contests: DataFrame) -> DataFrame:
+    """w (hash of the shared bytes), n, rid, first (the place of the content) and content of each piece of the contested contexts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,106 +48,102 @@ def _contexts(docs: DataFrame, contests: DataFrame) -> DataFrame:
                 flat = lists.flatten()
                 shift = np.repeat(bounds[:-1], counts)
                 place, low, high = (flat.field(c).to_numpy() + shift for c in ("place", "low", "high"))
+                n, rid = flat.field("n").to_numpy(), np.repeat(batch["rid"].to_numpy()[i:j], counts)
                 held, rolling = data.tobytes(), A.Rolling(A.VALUES[data])
-                right = np.where(place + REACH <= high + WINDOW, rolling.of(place, np.minimum(place + REACH, len(data))), 0)
-                left = np.where(place + GRAM - REACH >= low, rolling.of(np.maximum(place + GRAM - REACH, 0), place + GRAM), 0)
-                content = [held[a : b + WINDOW] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                rid = np.repeat(batch["rid"].to_numpy()[i:j], counts)
-                yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("n"), pa.array(rid), flat.field("low"), pa.array(right.view(np.int64)), pa.array(left.view(np.int64)), pa.array(content, pa.binary())], ["gram", "n", "rid", "low", "right", "left", "content"])
-
-    held = contests.groupBy("rid").agg(F.collect_list(F.struct("gram", "n", "place", "low", "high")).alias("held"))
+                turn = place + REACH - WINDOW  # windows from here on have REACH bytes from the gram's begin on
+                for first, last, core, end in ((np.maximum(low, turn), high, place, place + REACH), (low, np.minimum(high, turn - 1), place + GRAM - REACH, place + GRAM)):
+                    some = np.flatnonzero(first <= last)
+                    w = rolling.of(core[some], end[some])
+                    content = [held[a : b + WINDOW] for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n[some]), pa.array(rid[some]), pa.array((first - shift)[some].astype(np.int32)), pa.array(content, pa.binary())], ["w", "n", "rid", "first", "content"])
+
+    held = contests.groupBy("rid").agg(F.collect_list(F.struct("n", "place", "low", "high")).alias("held"))
     texts = docs.select(row_id().alias("rid"), "text").join(held, "rid").dropDuplicates(["rid"])
-    return texts.select("rid", "text", "held").mapInArrow(rows, "gram long, n long, rid long, low int, right long, left long, content binary")
-
-
-def _close(contexts: DataFrame) -> DataFrame:
-    """The contexts that share more than their gram with another one.
-
-    A window has REACH bytes from the gram's begin on, or as many up to its end, so where neither stands in another context of the gram,
-    no window does.
-    """
-    sides = contexts.select("rid", "low", F.explode(F.array("right", "left")).alias("w")).where("w <> 0")
-    often = sides.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    keep = sides.join(often, "w", "left_semi").select("rid", "low").distinct()
-    return contexts.join(keep, ["rid", "low"], "left_semi").select("gram", "n", "rid", "low", "content")
-
-
-def repeated_windows(contents: list[bytes], window: int, memory: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """(content, place) of all windows that stand more than once in the contents."""
-    text = np.frombuffer(b"\x00".join(contents) + b"\x00", np.uint8).astype(np.uint16) + 2
-    ends = np.cumsum([len(c) + 1 for c in contents]) - 1
-    text[ends] = 1
-    text = np.append(text, np.uint16(0))
-    order, prefix = suffixes(text, memory)
-    of = np.searchsorted(ends, np.arange(len(text)))
-    room = np.append(ends, len(text))[of] - np.arange(len(text))
-    long = prefix >= window
-    repeated = order[long | np.append(long[1:], False)]
-    repeated = repeated[room[repeated] >= window]
-    return of[repeated], repeated - np.append(0, ends + 1)[of[repeated]]
-
-
-def _sorted_windows(contexts: DataFrame) -> DataFrame:
-    """rid, first, last of repeated windows, merged where they touch, by suffix arrays of lots of whole grams."""
-
-    def flush(lot: list[tuple]) -> pa.RecordBatch:
-        which, place = repeated_windows([x[4] for x in lot], WINDOW)
-        alone = np.array([x[1] == 1 for x in lot])
-        which, place = which[alone[which]], place[alone[which]]
-        by = np.lexsort((place, which))
-        which, place = which[by], place[by]
-        new = np.append(True, (which[1:] != which[:-1]) | (place[1:] > place[:-1] + 1))[: len(which)]
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], len(which))[: len(start)] - 1
-        low = np.array([x[3] for x in lot], dtype=np.int64)
-        rid = np.array([x[2] for x in lot], dtype=np.int64)
-        k = which[start]
-        return pa.RecordBatch.from_arrays([pa.array(rid[k]), pa.array((low[k] + place[start]).astype(np.int32)), pa.array((low[k] + place[end] + WINDOW).astype(np.int32))], ["rid", "first", "last"])
+    return texts.select("rid", "text", "held").mapInArrow(rows, "w long, n long, rid long, first int, content binary")
+
+
+class Lot:
+    """Pieces of a shard, with their contents one after the other in a file."""
+
+    def __init__(self):
+        self.file, self.size, self.columns = tempfile.TemporaryFile(), 0, []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        data, bounds = A.utf8(batch["content"])
+        lengths = np.diff(bounds)
+        text = np.ones(len(data) + len(lengths), np.uint16)  # 1 ends a content
+        text[np.arange(len(data)) + np.repeat(np.arange(len(lengths)), lengths)] = data
+        inside = np.ones(len(text), np.bool_)
+        ends = np.cumsum(lengths + 1) - 1
+        inside[ends] = False
+        text[inside] += 2
+        self.file.write(text.tobytes())
+        self.columns.append([batch["n"].to_numpy(), batch["rid"].to_numpy(), batch["first"].to_numpy(), self.size + ends])
+        self.size += len(text)
+
+    def repeated(self, window: int, memory: int) -> tuple[np.ndarray, ...]:
+        """n, rid, first and place in the content of all windows, of at most CAP bytes, that stand more than once."""
+        if window > CAP:
+            raise ValueError(f"common prefixes are carried up to {CAP} bytes")
+        n, rid, first, ends = (np.concatenate(c) for c in zip(*self.columns, strict=True))
+        self.file.write(np.zeros(1, np.uint16).tobytes())
+        self.file.flush()
+        text = np.memmap(self.file, np.uint16, "r") if 2 * self.size > memory else np.fromfile(self._rewound(), np.uint16)
+        order, prefix = suffixes(text, memory)
+        which, place = [], []
+        for i, j in chunks(len(text)):
+            long = prefix[i : j + 1] >= window
+            at = order[i:j][long[: j - i] | np.append(long[1:], False)[: j - i]].astype(np.int64)
+            of = np.searchsorted(ends, at)
+            fits = ends[np.minimum(of, len(ends) - 1)] - at >= window
+            which.append(of[fits])
+            place.append(at[fits] - np.append(0, ends + 1)[of[fits]])
+        self.file.close()
+        which = np.concatenate(which)
+        return n[which], rid[which], first[which], np.concatenate(place)
+
+    def _rewound(self):
+        self.file.seek(0)
+        return self.file
+
+
+def _sorted_windows(pieces: DataFrame) -> DataFrame:
+    """rid, first, last of the repeated windows of contexts that occur once, merged where they touch, by suffix arrays."""
+
+    def flush(lot: Lot) -> pa.RecordBatch:
+        n, rid, first, place = lot.repeated(WINDOW, QUEUE_BYTES)
+        alone = n == 1
+        rid, first = rid[alone], first[alone] + place[alone]
+        by = np.lexsort((first, rid))
+        rid, first = rid[by], first[by]
+        start = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (first[1:] > first[:-1] + 1))[: len(rid)])
+        end = np.append(start[1:], len(rid))[: len(start)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(rid[start]), pa.array(first[start].astype(np.int32)), pa.array((first[end] + WINDOW).astype(np.int32))], ["rid", "first", "last"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot, size, gram = [], 0, None
+        lot, before = Lot(), None
         for batch in batches:
-            for x in zip(*(batch[c].to_pylist() for c in ("gram", "n", "rid", "low", "content")), strict=True):
-                if size >= LOT_BYTES and x[0] != gram:
-                    yield flush(lot)
-                    lot, size = [], 0
-                lot.append(x)
-                size += len(x[4])
-                gram = x[0]
-        if lot:
+            w = batch["w"].to_numpy()
+            if not len(w):
+                continue
+            if lot.size >= LOT_BYTES and w[0] != before:
+                yield flush(lot)
+                lot = Lot()
+            # pieces that share their bytes with no other are left out; those at the ends of a batch may have others in the next one
+            same = w[1:] == w[:-1]
+            lot.add(batch.filter(pa.array(np.append(True, same) | np.append(same, True))))
+            before = w[-1]
+        if lot.size:
             yield flush(lot)
 
-    dealt = contexts.repartition("gram").sortWithinPartitions("gram", "rid", "low")
+    dealt = pieces.repartition("w").sortWithinPartitions("w", "rid", "first")
     return dealt.mapInArrow(rows, "rid long, first int, last int")
 
 
-def _counted_windows(contexts: DataFrame) -> DataFrame:
-    """rid, first, last of repeated windows, by counting the windows of all contexts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, bounds in A.texts(batch["content"]):
-                n = np.maximum(np.diff(bounds) - WINDOW + 1, 0)
-                which = np.repeat(np.arange(j - i), n)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                hashes = A.Rolling(A.VALUES[data]).of(bounds[:-1][which] + at, bounds[:-1][which] + at + WINDOW)
-                take = lambda c, b=batch, i=i, w=which: b[c].to_numpy()[i + w]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(take("rid")), pa.array(take("n")), pa.array((take("low") + at).astype(np.int32))], ["w", "rid", "n", "first"])
-
-    windows = contexts.mapInArrow(rows, "w long, rid long, n long, first int")
-    often = windows.groupBy("w").agg(F.count("*").alias("k")).where("k > 1").select("w")
-    return windows.where("n = 1").join(often, "w", "left_semi").select("rid", "first", (F.col("first") + WINDOW).alias("last"))
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """rid, first, last: bytes [first, last) lie in repeated windows. Spans overlap."""
     spans, contests = R.candidates(docs, R.byte_units, WINDOW, GRAM)
-    contexts = cut(_close(cut(_contexts(docs, contests))))
-    large = contexts.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > GRAM_CONTEXTS).select("gram")
-    if large.isEmpty():
-        return spans.union(cut(_sorted_windows(contexts)))
-    small = contexts.join(large, "gram", "left_anti")
-    return spans.union(cut(_sorted_windows(small))).union(cut(_counted_windows(contexts.join(large, "gram", "left_semi"))))
+    return spans.union(cut(_sorted_windows(cut(_pieces(docs, contests)))))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

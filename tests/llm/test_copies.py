@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from kvlake.llm import lines, passages, setjoin, substrings
-from kvlake.llm.induced import CAP, suffixes
+from kvlake.llm import induced, lines, passages, setjoin, substrings
+from kvlake.llm.induced import CAP
 from tests.llm import brute
 
 TEXTS = brute.documents()
@@ -17,9 +19,9 @@ def by_id(rows):
     return sorted((tuple(r) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("contexts", [20_000, 0])
-def test_substrings(spark, contexts, monkeypatch):
-    monkeypatch.setattr(substrings, "GRAM_CONTEXTS", contexts)
+@pytest.mark.parametrize("lot_bytes", [substrings.LOT_BYTES, 1])
+def test_substrings(spark, lot_bytes, monkeypatch):
+    monkeypatch.setattr(substrings, "LOT_BYTES", lot_bytes)
     got = substrings.dedup(brute.frame(spark, TEXTS, IDS)).collect()
     assert by_id(got) == by_id((i, *x) for i, x in zip(IDS, brute.substrings(TEXTS), strict=True))
 
@@ -58,6 +60,15 @@ def test_one_of_each_keeps_columns_and_drops_equal_rows(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 4, 5, 6]
 
 
+def test_one_of_each_keeps_rows_without_words(spark):
+    """Rows without words stay, repeated or not, whether or not rows with words are repeated."""
+    word = " ".join(f"w{i}" for i in range(30))
+    for more in ([], [word]):
+        texts = ["", "", " \n", None, None, word, *more]
+        docs = brute.frame(spark, texts, [5, 5, 5, 6, 6, 7, *([7] * len(more))]).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+        assert sorted(r["doc_id"] for r in setjoin.one_of_each(docs).collect()) == [5, 5, 5, 6, 6, 7]
+
+
 def test_one_of_each_tells_groups_apart_without_ids(spark):
     """Unrelated texts of null ids, unrelated texts of one id, and near copies of null ids."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
@@ -124,15 +135,47 @@ def test_rows_repeated_in_full(spark):
     assert [r["n_removed"] for r in lines.dedup(docs).collect()] == [0, 0]
 
 
-def test_suffixes():
-    rng = random.Random(3)
-    for _ in range(300):
-        n, k = rng.randint(1, 60), rng.choice([1, 2, 3, 30])
-        text = np.array([*(rng.randint(1, k) for _ in range(n)), 0], dtype=np.uint16)
-        held = text.tolist()
-        want = sorted(range(n + 1), key=lambda i: held[i:])
-        shared = lambda a, b: next((x for x in range(CAP) if max(a, b) + x > n or held[a + x] != held[b + x]), CAP)
+def suffix_array(held):
+    """Suffixes in order, and how many letters (up to CAP) each shares with the one before it."""
+    n = len(held)
+    order = sorted(range(n), key=lambda i: held[i:])
+    shared = lambda a, b: next((x for x in range(CAP) if max(a, b) + x >= n or held[a + x] != held[b + x]), CAP)
+    return order, [0, *(shared(a, b) for a, b in zip(order, order[1:], strict=False))]
+
+
+@pytest.mark.parametrize("few_names, chunk, doubling", [(1_024, 1 << 17, 64), (1_024, 1 << 17, 10**9), (2, 7, 10**9), (3, 64, 10**9)])
+def test_suffixes(few_names, chunk, doubling, monkeypatch):
+    """In memory and with queues on disk; with the recursion to its end and with doubled ranks; in chunks of any size."""
+    monkeypatch.setattr(induced, "FEW_NAMES", few_names)
+    monkeypatch.setattr(induced, "CHUNK", chunk)
+    monkeypatch.setattr(induced, "DOUBLING_BYTES", doubling)
+    rng, spills = random.Random(3), induced.Queues.spills
+    texts = []
+    for _ in range(200):
+        n, k = rng.randint(0, 80), rng.choice([1, 2, 3, 30])
+        text = [rng.randint(1, k) for _ in range(n)]
+        texts.append(text * 4 if rng.random() < 0.3 else text)
+    base = [rng.randint(1, 3) for _ in range(400)]
+    texts.append([*base, *base[:100], 1, *base[100:], *base])
+    for text in texts:
+        held = [*text, 0]
         for memory in (64_000_000, 64):
-            order, prefix = suffixes(text, memory)
-            assert order.tolist() == want
-            assert prefix.tolist() == [0, *(shared(a, b) for a, b in zip(want, want[1:], strict=False))]
+            order, prefix = induced.suffixes(np.array(held, np.uint16), memory)
+            assert (order.tolist(), prefix.tolist()) == suffix_array(held)
+    assert induced.Queues.spills > spills
+
+
+def test_a_lot_of_production_size_goes_to_disk():
+    rng, spills = np.random.default_rng(5), induced.Queues.spills
+    passage = rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    lot, contents = substrings.Lot(), []
+    while lot.size < substrings.LOT_BYTES // 2:
+        some = [rng.integers(97, 101, 350, dtype=np.uint8).tobytes() for _ in range(5_000)]
+        contents += some
+        some[7] = contents[len(contents) - 5_000 + 7] = some[7][:19] + bytes([len(contents) // 5_000]) + passage + bytes([len(contents) // 5_000]) + some[7][:9]
+        n = len(some)
+        lot.add(pa.record_batch({"n": pa.array([1] * n), "rid": pa.array(range(n)), "first": pa.array([0] * n, pa.int32()), "content": pa.array(some, pa.binary())}))
+    _, rid, _, place = lot.repeated(substrings.WINDOW, substrings.QUEUE_BYTES)
+    lots = len(contents) // 5_000
+    assert sorted(zip(rid.tolist(), place.tolist(), strict=True)) == sorted([(7, p) for p in range(20, 121)] * lots)
+    assert induced.Queues.spills > spills
