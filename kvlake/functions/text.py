@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 FLAG_WORDS = ("-&save", "-&protobuff", "-&cache", "-&from-cache", "-&from-protobuff", "-&asa-json")
 LEVELS = ("Info", "Debug", "Error")
+# What is said to a command with too few parts.
+USAGE = {
+    "LIN": "USAGE: LIN <Group> <Password>",
+    "AUTH": "ERROR: Usage: AUTH <CREATE|token>",
+    "GET": "USAGE: GET <key> [-&from-cache,-&from-protobuff] [-&asa-json]",
+    "SET": "USAGE: SET <key> <value> [-&save] [-&cache] [-&protobuff]",
+    "DEL": "USAGE: DEL <key> [-&cache] [-&protobuff]",
+    "UPDATE": "USAGE: UPDATE <key> <newValue>",
+    "HEAVEN": "USAGE: GET <key> [-&from-cache,-&from-protobuff] [-&asa-json]",  # it goes on as a GET
+}
 
 
 def tokenize(line: Column) -> Column:

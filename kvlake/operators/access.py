@@ -44,12 +44,45 @@ def can_access(groups: DataFrame, asked: DataFrame, observed: bool = False) -> D
     return rows.select("group", "token", F.coalesce(allowed, F.lit(False)).alias("allowed"))
 
 
-def create(groups: DataFrame, name: str, salt: str, password: str, unix: int) -> DataFrame:
-    """groups with a new one, unless there is one of that name."""
-    spark = groups.sparkSession
-    new = spark.createDataFrame([(name, salt, unix)], "group string, salt string, unix long")
-    new = new.withColumn("access", password_hash(F.col("salt"), F.lit(password))).withColumn("hash", password_hash(F.col("salt"), F.col("group"))).withColumn("accessibility", F.array(F.lit(FIRST_GRANT)))
-    return groups.unionByName(new.join(groups, "group", "left_anti").select(*groups.columns))
+def create(groups: DataFrame, new: DataFrame) -> DataFrame:
+    """groups with those of new (group, salt, password, unix) whose name isn't taken; of several of one name, the first by salt."""
+    made = new.groupBy("group").agg(F.min(F.struct("salt", "password", "unix")).alias("m")).select("group", "m.*")
+    made = made.withColumn("access", password_hash(F.col("salt"), F.col("password"))).withColumn("hash", password_hash(F.col("salt"), F.col("group"))).withColumn("accessibility", F.array(F.lit(FIRST_GRANT)))
+    return groups.unionByName(made.join(groups.select("group"), "group", "left_anti").select(*groups.columns))
+
+
+def exists(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """group, found for each asked group."""
+    known = groups.select("group", F.lit(True).alias("hit")).distinct()
+    return asked.select("group").join(known, "group", "left").select("group", F.coalesce("hit", F.lit(False)).alias("found"))
+
+
+def set_settings(settings: DataFrame, wanted: DataFrame, only_present: bool = False) -> DataFrame:
+    """settings (section, key, value) with those of wanted in place of what they had; only_present adds none."""
+    on = ["section", "key"]
+    kept = settings.join(wanted, on, "left_anti")
+    put = wanted.join(settings.select(*on), on, "left_semi") if only_present else wanted
+    return kept.unionByName(put.select(*settings.columns))
+
+
+def put_passwords(held: DataFrame, new: DataFrame, loaded: bool = True) -> DataFrame:
+    """group, password after writing new ones; a store that wasn't loaded before is overwritten, as observed."""
+    return held.join(new, "group", "left_anti").unionByName(new.select(*held.columns)) if loaded else new.select(*held.columns)
+
+
+def token_info(tokens: DataFrame, tier: DataFrame) -> DataFrame:
+    """token, n_keys of each token: how many keys the tier (project, key) holds for it."""
+    counted = tier.groupBy(F.col("project").alias("token")).agg(F.count("*").alias("n_keys"))
+    return tokens.select("token").distinct().join(counted, "token", "left").select("token", F.coalesce("n_keys", F.lit(0)).alias("n_keys"))
+
+
+def remove_tokens(tokens: DataFrame, gone: DataFrame) -> DataFrame:
+    return tokens.join(gone.select("token"), "token", "left_anti")
+
+
+def burn(tokens: DataFrame) -> DataFrame:
+    """No token is left."""
+    return tokens.limit(0)
 
 
 def login(groups: DataFrame, tries: DataFrame) -> DataFrame:

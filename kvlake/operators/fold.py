@@ -1,9 +1,11 @@
 """The fold of a command log: what each lookup answers, and what each tier holds in the end.
 
 A command row has seq (a total order), project, verb, key, value and flags. Each row has an effect on the volatile tier (ce) and on the
-durable tier (de): a struct of seq, kept (false for a deletion) and value, or null for none. The barrier verb clears the volatile tier of
+durable tier (de): a struct of seq, kept (false for a deletion) and value, or null for none; a write without a value has none, nor has
+any command without a key. The barrier verb clears the volatile tier of
 all projects; it is no effect on any key but a number on each row: the seq of the last barrier before it. A volatile effect counts for a
-lookup only if it is younger than that. So one exchange by (project, key) and one sort serve both tiers, whatever the number of barriers.
+lookup only if it is younger than that. So one exchange by (project, key, span of seq) and one sort serve both tiers, whatever the number
+of barriers.
 """
 
 from __future__ import annotations
@@ -46,9 +48,9 @@ def effects(commands: DataFrame, observed: bool = False) -> DataFrame:
     put = lambda v: F.struct("seq", F.lit(True).alias("kept"), v.alias("value"))
     gone = F.struct("seq", F.lit(False).alias("kept"), F.lit(None).cast("string").alias("value"))
     stored = text.stored_value(F.col("value"), observed)
-    has_key = F.col("key").isNotNull()
-    ce = F.when(has_key & (verb == "SET"), put(stored)).when(has_key & (verb == "UPDATE"), put(F.col("value"))).when(has_key & (verb == "DEL") & ~only_durable, gone)
-    de = F.when(has_key & (verb == "SET") & text.has_flag(flags, "-&save", "-&protobuff"), put(stored)).when(has_key & (verb == "DEL") & ~only_cache, gone)
+    has_key, has_value = F.col("key").isNotNull(), F.col("key").isNotNull() & F.col("value").isNotNull()
+    ce = F.when(has_value & (verb == "SET"), put(stored)).when(has_value & (verb == "UPDATE"), put(F.col("value"))).when(has_key & (verb == "DEL") & ~only_durable, gone)
+    de = F.when(has_value & (verb == "SET") & text.has_flag(flags, "-&save", "-&protobuff"), put(stored)).when(has_key & (verb == "DEL") & ~only_cache, gone)
     return commands.withColumn("ce", ce).withColumn("de", de)
 
 
@@ -57,11 +59,22 @@ def lookups(commands: DataFrame, observed: bool = False) -> DataFrame:
     return lookups_from(last_barrier(effects(commands, observed)))
 
 
-def lookups_from(rows: DataFrame) -> DataFrame:
-    """The same, from rows with effects and barriers."""
-    before = Window.partitionBy("project", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+def lookups_from(rows: DataFrame, span: int | None = None) -> DataFrame:
+    """The same, from rows with effects and barriers.
+
+    A key's history is cut into spans of seq, so that a key with a large share of all rows is many tasks' work: the last effects of each
+    span are aggregated, and carried over spans, a row for each. Rows then look within their own span first.
+    """
+    on = ["project", "key", "span"]
+    rows = rows.where(F.col("key").isNotNull()).withColumn("span", F.floor(F.col("seq") / (span or SPAN)))
+    tops = rows.where(F.col("ce").isNotNull() | F.col("de").isNotNull() | F.col("verb").isin("GET", BARRIER)).groupBy(*on).agg(F.max("ce").alias("ce"), F.max("de").alias("de"))
+    earlier = Window.partitionBy("project", "key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*(F.col(c).alias(f"of_{c}") for c in on), F.max("ce").over(earlier).alias("pc"), F.max("de").over(earlier).alias("pd"))
+    before = Window.partitionBy(*on).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("lc", F.last("ce", True).over(before)).withColumn("ld", F.last("de", True).over(before))
-    rows = rows.where(F.col("verb").isin("GET", BARRIER) & F.col("key").isNotNull())
+    rows = rows.where(F.col("verb").isin("GET", BARRIER))
+    same = F.col("project").eqNullSafe(F.col("of_project")) & (F.col("key") == F.col("of_key")) & (F.col("span") == F.col("of_span"))
+    rows = rows.join(carried, same, "left").withColumn("lc", F.coalesce("lc", "pc")).withColumn("ld", F.coalesce("ld", "pd"))
     fresh = F.col("lc.seq") > F.coalesce("barrier", F.lit(-1))
     return rows.select("seq", "project", "verb", "key", "flags", F.when(fresh, F.col("lc.value")).alias("cached"), F.col("ld.value").alias("durable"))
 
@@ -118,7 +131,8 @@ def replies(commands: DataFrame) -> DataFrame:
     deleted = F.when(text.has_flag(flags, "-&cache"), "Ok (Cache).").when(text.has_flag(flags, "-&protobuff"), "Ok (Protobuf).").otherwise("Ok (Cache,Protobuf).")
     known = verb.isin("GET", "SET", "DEL", "UPDATE", BARRIER)
     bad = F.col("key").isNull() | (verb.isin("SET", "UPDATE") & F.col("value").isNull())
-    reply = F.when(~known, "ERROR: Unknown command").when(bad, "ERROR: Missing argument").when(verb == "SET", said).when(verb == "DEL", deleted).otherwise("Ok.")
+    usage = F.element_at(F.create_map(*[F.lit(x) for pair in text.USAGE.items() for x in pair]), verb)
+    reply = F.when(~known, "ERROR: Unknown command").when(bad, usage).when(verb == "SET", said).when(verb == "DEL", deleted).otherwise("Ok.")
     return commands.where(verb != "GET").select("seq", "verb", F.when(~known | bad, "error").otherwise("ok").alias("status"), reply.alias("reply"))
 
 

@@ -51,6 +51,27 @@ def lists_by_key(rows: DataFrame, key: str, value: str, order: str) -> DataFrame
     return rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.transform(held, lambda x: x["v"]).alias("value"))
 
 
-def last_of_each(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key, with all its columns."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+def _by_kind(operations: DataFrame) -> DataFrame:
+    """operations with the key and the value that count for their kind, as texts: a list as JSON, so that no two lists are alike."""
+    key = F.when(F.col("kind") == "list_key", F.to_json("list_key")).otherwise(F.col("key"))
+    value = F.when(F.col("kind") == "list_value", F.array_join("list_value", "|")).otherwise(F.col("value"))
+    last = F.when(F.col("op") == "put", F.struct(F.lit(True).alias("held"), value.alias("value"))).when(F.col("op") == "del", F.struct(F.lit(False).alias("held"), F.lit(None).cast("string").alias("value")))
+    return operations.select("kind", "seq", "op", key.alias("key"), last.alias("effect"))
+
+
+def dispatch(operations: DataFrame) -> DataFrame:
+    """kind, seq, op, value (of get) and found (of exists) for the lookups of a log of put, get, del and exists on collections of any kind.
+
+    A lookup sees the last put or del of its kind and key before it. What is missing is the text null.
+    """
+    before = Window.partitionBy("kind", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _by_kind(operations).withColumn("last", F.last("effect", True).over(before)).where(F.col("op").isin("get", "exists"))
+    held = F.coalesce(F.col("last.held"), F.lit(False))
+    value = F.when(F.col("op") == "get", F.when(held, F.col("last.value")).otherwise(MISSING))
+    return rows.select("kind", "seq", "op", value.alias("value"), F.when(F.col("op") == "exists", held).alias("found"))
+
+
+def dispatch_final(operations: DataFrame) -> DataFrame:
+    """kind, key, held, value: the last put or del of each key, by partial aggregation."""
+    rows = _by_kind(operations).where("effect is not null")
+    return rows.groupBy("kind", "key").agg(F.max_by("effect", "seq").alias("last")).select("kind", "key", "last.held", "last.value")

@@ -17,14 +17,17 @@ def gate(commands: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame
     commands: seq, session, verb, arg, rest. groups: group, salt, access, accessibility. tokens: token. The list of grants is the one at
     login; a token made in a session can't be chosen in it, since it isn't on that list.
     """
+    # of a group's grants, those that are tokens: small tables, so that the log itself is never dealt by its arguments
+    usable = groups.select("group", F.explode("accessibility").alias("token")).join(tokens.select("token"), "token", "left_semi").groupBy("group").agg(F.collect_set("token").alias("usable"))
+    groups = groups.join(usable, "group", "left")
     lin = commands.where("verb = 'LIN' and arg is not null and rest is not null")
     checked = lin.join(groups, lin.arg == groups["group"]).where(F.col("access") == password_hash(F.col("salt"), F.col("rest")))
-    first = checked.groupBy("session").agg(F.min_by(F.struct(F.col("seq").alias("login_seq"), F.col("group").alias("login_group"), F.col("accessibility").alias("grants")), "seq").alias("login"))
+    first = checked.groupBy("session").agg(F.min_by(F.struct(F.col("seq").alias("login_seq"), F.col("group").alias("login_group"), F.col("accessibility").alias("grants"), "usable"), "seq").alias("login"))
     rows = commands.join(first.select("session", "login.*"), "session", "left")
     rows = rows.withColumn("logged_in", F.coalesce(F.col("seq") > F.col("login_seq"), F.lit(False)))
-    known = tokens.select(F.col("token").alias("arg")).distinct().withColumn("registered", F.lit(True))
-    rows = rows.join(known, "arg", "left").withColumn("granted", F.coalesce(F.array_contains("grants", F.col("arg")), F.lit(False)))
-    chosen = (F.col("verb") == "AUTH") & F.col("logged_in") & F.col("granted") & F.coalesce("registered", F.lit(False))
+    held = lambda c: F.coalesce(F.array_contains(c, F.col("arg")), F.lit(False))
+    rows = rows.withColumn("granted", held("grants"))
+    chosen = (F.col("verb") == "AUTH") & F.col("logged_in") & held("usable")
     before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("project", F.last(F.when(chosen, F.col("arg")), True).over(before))
     verb = F.col("verb")
@@ -41,7 +44,7 @@ def gate(commands: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame
         .when(F.col("status") == "denied", F.concat(F.lit("Cannot auth with: "), F.coalesce("arg", F.lit(""))))
         .when(F.col("status") == "invalid", F.concat(F.lit("Invalid token: "), "arg")).when(F.col("status") == "authenticated", F.concat(F.lit("Authenticated to project: "), "arg"))
     )
-    return rows.withColumn("message", message).drop("login_seq", "grants", "granted", "registered")
+    return rows.withColumn("message", message).drop("login_seq", "grants", "granted", "usable")
 
 
 def create_tokens(tokens: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,15 +5,20 @@ The command log is made of events: seq is event_id, four projects, 37 keys, the
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions import security, sizing, text
+from kvlake.functions import anyvalue
 from kvlake.operators import access, fold, jsondoc, session, telemetry, tiers
-from kvlake.operators.keyed import Keyed, lists_by_key
+from kvlake.operators.keyed import KINDS, Keyed, dispatch, dispatch_final, lists_by_key
 from kvlake.sources import files, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,6 +164,16 @@ def kv_update_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("was", was).where("verb = 'UPDATE'").groupBy("project").agg(F.count("*").alias("n"), F.count_if(~held).alias("n_new"))
 
 
+NO_VALUE = EFF.replace("props AS value", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS value")
+
+
+@query(f"WITH {NO_VALUE} SELECT seq, project, key, coalesce(cached, durable) AS value FROM got WHERE verb = 'GET'")
+def kv_set_without_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups where every third SET and UPDATE has no value: such a command leaves its key alone."""
+    rows = commands(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 3 != 0, F.col("value")))
+    return fold.answers(rows).where("verb = 'GET'").select("seq", "project", "key", "value")
+
+
 @query(f"WITH {CMD} SELECT seq, CASE WHEN flag = '-&save' THEN 'Ok (Protobuf)' ELSE 'Ok (Cache)' END AS reply FROM cmd WHERE verb = 'SET'")
 def kv_set_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.replies(commands(spark, sf_dir)).where("verb = 'SET'").select("seq", "reply")
@@ -214,11 +229,22 @@ def cmd_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_commands(lines(spark, sf_dir)).select("seq", F.array_join("flags", ",").alias("flags"))
 
 
-@query(f"WITH {LINES} SELECT seq, p_verb AS verb, CASE WHEN p_verb NOT IN ('GET', 'SET', 'DEL', 'UPDATE', 'HEAVEN') THEN 'ERROR: Unknown command' ELSE 'ERROR: Missing argument' END AS reply FROM parts WHERE p_verb <> 'GET' AND (p_verb NOT IN ('GET', 'SET', 'DEL', 'UPDATE', 'HEAVEN') OR p_key IS NULL OR (p_verb IN ('SET', 'UPDATE') AND p_rest IS NULL))")
+USAGE = "(VALUES " + ", ".join(f"('{verb}', '{said}')" for verb, said in text.USAGE.items()) + ") u(verb, said)"
+
+
+@query(f"WITH {LINES} SELECT seq, p_verb AS verb, CASE WHEN p_verb IN ('GET', 'SET', 'DEL', 'UPDATE', 'HEAVEN') THEN said ELSE 'ERROR: Unknown command' END AS reply FROM parts LEFT JOIN {USAGE} ON u.verb = p_verb WHERE p_verb <> 'GET' AND (p_verb NOT IN ('GET', 'SET', 'DEL', 'UPDATE', 'HEAVEN') OR p_key IS NULL OR (p_verb IN ('SET', 'UPDATE') AND p_rest IS NULL))")
 def cmd_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.replies(files.parse_commands(lines(spark, sf_dir))).where("status = 'error'").select("seq", "verb", "reply")
 
 
+@query(f"WITH {CMD} SELECT seq, verb, said AS reply FROM cmd JOIN {USAGE} USING (verb) WHERE verb IN ('SET', 'UPDATE', 'DEL', 'HEAVEN')")
+def cmd_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to each verb sent with too few parts."""
+    rows = commands(spark, sf_dir)
+    short = F.when(F.col("verb").isin("SET", "UPDATE"), F.concat_ws(" ", F.lower("verb"), "key")).otherwise(F.col("verb"))
+    return fold.replies(files.parse_commands(rows.select("seq", "session", short.alias("line")))).where("status = 'error'").select("seq", "verb", "reply")
+
+
 @query(f"WITH {LINES} SELECT '/10.0.0.' || CAST(seq % 9 AS VARCHAR) AS ip, p_verb AS verb, count(*) AS n FROM parts GROUP BY ALL")
 def cmd_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.concat(F.lit("/10.0.0."), (F.col("seq") % 9).cast("string"))
@@ -334,6 +360,66 @@ def group_can_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.can_access(groups(spark, sf_dir), _wanted(spark, sf_dir))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second nation, and as many names that are no group."""
+    some = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("group"), "n_nationkey")
+    return some.unionByName(some.select(F.concat(F.lit("NEW "), "group").alias("group"), "n_nationkey"))
+
+
+ASKED = "chosen AS (SELECT n_name AS grp, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0), asked AS (SELECT grp, k FROM chosen UNION ALL SELECT 'NEW ' || grp, k FROM chosen)"
+
+
+@query(f'WITH {ASKED} SELECT grp AS "group", grp IN (SELECT n_name FROM nation) AS found FROM asked')
+def group_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.exists(groups(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"""WITH {GROUPS}, {ASKED} SELECT grp AS "group", k AS unix, array_to_string(acc, ',') AS grants FROM groups UNION ALL SELECT grp, k, 'default' FROM asked WHERE grp NOT IN (SELECT n_name FROM nation)""")
+def group_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = _asked(spark, sf_dir).select("group", F.lit("salt").alias("salt"), F.lit("pw").alias("password"), F.col("n_nationkey").cast("bigint").alias("unix"))
+    return access.create(groups(spark, sf_dir), new).select("group", "unix", F.array_join("accessibility", ",").alias("grants"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("token"), F.col("n_regionkey").alias("owner"))
+
+
+@query("SELECT DISTINCT n_name AS token, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_keys FROM nation")
+def token_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return access.token_info(_tokens(spark, sf_dir), keys.select(F.col("n_name").alias("project"), F.col("c_custkey").alias("key")))
+
+
+@query("SELECT n_name AS token FROM nation WHERE n_nationkey % 2 <> 0")
+def token_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.remove_tokens(_tokens(spark, sf_dir), _asked(spark, sf_dir).select(F.col("group").alias("token"))).select("token")
+
+
+@query(f"WITH {ASKED} SELECT n_name AS \"group\", CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'pw' || n_nationkey END AS password FROM nation UNION ALL SELECT grp, 'new' FROM asked WHERE grp LIKE 'NEW %'")
+def pawd_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "nation").select(F.col("n_name").alias("group"), F.concat(F.lit("pw"), F.col("n_nationkey").cast("string")).alias("password"))
+    return access.put_passwords(held, _asked(spark, sf_dir).select("group", F.lit("new").alias("password")))
+
+
+@query(f"WITH {ASKED} SELECT n_name AS section, 'unix' AS key, CASE WHEN n_nationkey % 2 = 0 THEN '0' ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM nation UNION ALL SELECT n_name, 'group', n_name FROM nation UNION ALL SELECT grp, 'unix', '0' FROM asked WHERE grp LIKE 'NEW %'")
+def settings_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.set_settings(_settings(spark, sf_dir), _new_settings(spark, sf_dir))
+
+
+@query("SELECT n_name AS section, 'unix' AS key, CASE WHEN n_nationkey % 2 = 0 THEN '0' ELSE CAST(n_nationkey AS VARCHAR) END AS value FROM nation UNION ALL SELECT n_name, 'group', n_name FROM nation")
+def settings_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.set_settings(_settings(spark, sf_dir), _new_settings(spark, sf_dir), only_present=True)
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.create_map(F.lit("unix"), F.col("n_nationkey").cast("string"), F.lit("group"), F.col("n_name"))
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("section"), F.explode(both))
+
+
+def _new_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir).select(F.col("group").alias("section"), F.lit("unix").alias("key"), F.lit("0").alias("value"))
+
+
 @query("SELECT n_regionkey AS owner, count(*) AS n_tokens, count(*) < 6 AS able FROM nation GROUP BY 1")
 def token_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.quota(table(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "owner"), "owner", 6)
@@ -355,31 +441,34 @@ def turns(spark: SparkSession, sf_dir: str) -> Keyed:
     return Keyed(lists_by_key(table(spark, sf_dir, "conversations"), "conv_id", "text", "turn"), "list_value")
 
 
-def _brands(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 8).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("key"))
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All brands but each fourth, and as many texts that are no brand."""
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    held = table(spark, sf_dir, "part").where(number % 4 != 0).select(F.col("p_brand").alias("key")).distinct()
+    return held.unionByName(held.select(F.concat(F.lit("no "), "key").alias("key")))
 
 
-BRANDS = "brands AS (SELECT 'Brand#' || CAST(i AS VARCHAR) AS key FROM range(1, 8) t(i)), held AS (SELECT p_brand AS key, arg_max(p_name, p_partkey) AS value FROM part GROUP BY p_brand)"
+BRANDS = "chosen AS (SELECT DISTINCT p_brand AS key FROM part WHERE CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 4 <> 0), brands AS (SELECT key FROM chosen UNION ALL SELECT 'no ' || key FROM chosen), held AS (SELECT p_brand AS key, arg_max(p_name, p_partkey) AS value FROM part GROUP BY p_brand)"
 
 
 @query(f"WITH {BRANDS} SELECT b.key, coalesce(value, 'null') AS value FROM brands b LEFT JOIN held h ON b.key = h.key")
 def act_string_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts_by_name(spark, sf_dir).get(_brands(spark))
+    return parts_by_name(spark, sf_dir).get(_brands(spark, sf_dir))
 
 
 @query(f"WITH {BRANDS} SELECT b.key, value IS NOT NULL AS found FROM brands b LEFT JOIN held h ON b.key = h.key")
 def act_string_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts_by_name(spark, sf_dir).exists(_brands(spark))
+    return parts_by_name(spark, sf_dir).exists(_brands(spark, sf_dir))
 
 
 @query(f"WITH {BRANDS} SELECT key, value FROM held WHERE key NOT IN (SELECT key FROM brands)")
 def act_string_del(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts_by_name(spark, sf_dir).delete(_brands(spark)).store()
+    return parts_by_name(spark, sf_dir).delete(_brands(spark, sf_dir)).store()
 
 
 @query(f"WITH {BRANDS} SELECT key, 'set' AS value FROM brands UNION ALL SELECT key, value FROM held WHERE key NOT IN (SELECT key FROM brands)")
 def act_string_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts_by_name(spark, sf_dir).set(_brands(spark).withColumn("value", F.lit("set"))).store()
+    return parts_by_name(spark, sf_dir).set(_brands(spark, sf_dir).withColumn("value", F.lit("set"))).store()
 
 
 @query("SELECT array_to_string([p_brand, p_type], '|') AS key, arg_max(p_name, p_partkey) AS value FROM part GROUP BY p_brand, p_type")
@@ -395,9 +484,39 @@ def act_list_key_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.exists(keys.unionByName(keys.select(F.reverse("key").alias("key")))).select(F.array_join("key", "|").alias("key"), "found")
 
 
-@query("SELECT CAST(c AS VARCHAR) AS key, coalesce((SELECT string_agg(text, '|' ORDER BY turn) FROM conversations WHERE conv_id = c), 'null') AS value FROM range(0, 150) t(c)")
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, string_agg(text, '|' ORDER BY turn) AS value FROM conversations GROUP BY conv_id UNION ALL SELECT DISTINCT 'no ' || conv_id, 'null' FROM conversations")
 def act_list_value_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns(spark, sf_dir).get(spark.range(150).select(F.col("id").cast("string").alias("key"))).select("key", F.array_join("value", "|").alias("value"))
+    held = turns(spark, sf_dir)
+    keys = held.store().select("key")
+    return held.get(keys.unionByName(keys.select(F.concat(F.lit("no "), "key").alias("key")))).select("key", F.array_join("value", "|").alias("value"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, true AS found FROM conversations GROUP BY conv_id UNION ALL SELECT DISTINCT 'no ' || conv_id, false FROM conversations")
+def act_list_value_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = turns(spark, sf_dir)
+    keys = held.store().select("key")
+    return held.exists(keys.unionByName(keys.select(F.concat(F.lit("no "), "key").alias("key"))))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS key, CASE WHEN conv_id % 3 = 0 THEN 'a|b' ELSE string_agg(text, '|' ORDER BY turn) END AS value FROM conversations GROUP BY conv_id")
+def act_list_value_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "conversations").where("conv_id % 3 = 0").select(F.col("conv_id").cast("string").alias("key"), F.array(F.lit("a"), F.lit("b")).alias("value")).distinct()
+    return turns(spark, sf_dir).set(some).store().select("key", F.array_join("value", "|").alias("value"))
+
+
+@query("SELECT array_to_string([p_brand, p_type], '|') AS key, CASE WHEN max(p_partkey) % 2 = 0 THEN 'set' ELSE arg_max(p_name, p_partkey) END AS value FROM part GROUP BY p_brand, p_type")
+def act_list_key_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts_by_list(spark, sf_dir).set(_even(spark, sf_dir).withColumn("value", F.lit("set"))).store().select(F.array_join("key", "|").alias("key"), "value")
+
+
+@query("SELECT array_to_string([p_brand, p_type], '|') AS key, arg_max(p_name, p_partkey) AS value FROM part GROUP BY p_brand, p_type HAVING max(p_partkey) % 2 <> 0")
+def act_list_key_del(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts_by_list(spark, sf_dir).delete(_even(spark, sf_dir)).store().select(F.array_join("key", "|").alias("key"), "value")
+
+
+def _even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list keys whose last part has an even number."""
+    return table(spark, sf_dir, "part").groupBy(F.array("p_brand", "p_type").alias("key")).agg(F.max("p_partkey").alias("last")).where("last % 2 = 0").select("key")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS key, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id")
@@ -406,11 +525,39 @@ def act_list_value_del(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).delete(gone).store().select("key", F.size("value").cast("bigint").alias("n"))
 
 
-@query("SELECT 'string' AS kind, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'list_key', count(DISTINCT p_brand || '|' || p_type) FROM part UNION ALL SELECT 'list_value', count(DISTINCT conv_id) FROM conversations")
+def _modal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations on collections of all kinds in one log: kind, seq, op, list_key, key, list_value, value."""
+    parts = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    op = F.element_at(F.array(*[F.lit(x) for x in ("put", "put", "get", "exists", "put", "del", "get")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return parts.select(kind.alias("kind"), F.col("p_partkey").alias("seq"), op.alias("op"), F.split("p_brand", "#").alias("list_key"), F.col("p_brand").alias("key"), F.split("p_name", " ").alias("list_value"), F.col("p_name").alias("value"))
+
+
+MODAL = """ops AS (SELECT ['string', 'list_key', 'list_value'][p_partkey % 3 + 1] AS kind, p_partkey AS seq, ['put', 'put', 'get', 'exists', 'put', 'del', 'get'][p_partkey % 7 + 1] AS op, p_brand AS key, p_name AS value FROM part),
+last AS (SELECT *, last_value(CASE WHEN op = 'put' THEN seq WHEN op = 'del' THEN -1 END IGNORE NULLS) OVER (PARTITION BY kind, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM ops),
+met AS (SELECT l.*, CASE l.kind WHEN 'list_value' THEN array_to_string(string_split(p.value, ' '), '|') ELSE p.value END AS got FROM last l LEFT JOIN ops p ON p.seq = l.at)"""
+
+
+@query(f"WITH {MODAL} SELECT kind, seq, op, CASE WHEN op = 'get' THEN coalesce(got, 'null') WHEN got IS NULL THEN 'false' ELSE 'true' END AS answer FROM met WHERE op IN ('get', 'exists')")
 def modal_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = (parts_by_name(spark, sf_dir), parts_by_list(spark, sf_dir), turns(spark, sf_dir))
-    one, two, three = (k.store().agg(F.lit(k.kind).alias("kind"), F.count("*").alias("n")) for k in made)
-    return one.unionByName(two).unionByName(three)
+    """The answers of get and exists as of their place in a log of operations on collections of all kinds."""
+    return dispatch(_modal(spark, sf_dir)).select("kind", "seq", "op", F.coalesce("value", F.col("found").cast("string")).alias("answer"))
+
+
+@query(f"WITH {MODAL}, top AS (SELECT kind, arg_max(op, seq) AS op FROM ops WHERE op IN ('put', 'del') GROUP BY kind, key) SELECT kind, count(*) FILTER (op = 'put') AS n_held, count(*) FILTER (op = 'del') AS n_deleted FROM top GROUP BY kind")
+def modal_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keys collections of each kind hold after a log of operations, and how many have been deleted."""
+    held = dispatch_final(_modal(spark, sf_dir))
+    return held.groupBy("kind").agg(F.count_if("held").alias("n_held"), F.count_if(~F.col("held")).alias("n_deleted"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'list' WHEN event_id % 4 = 2 THEN 'boolean' WHEN event_id % 4 = 1 THEN 'string' ELSE 'number' END AS kind, CASE WHEN event_id % 4 = 0 THEN CAST(event_id AS DOUBLE) END AS number, CASE WHEN event_id % 4 = 1 THEN event_type END AS string, CASE WHEN event_id % 4 = 3 THEN event_type END AS first FROM events")
+def any_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of any type: what they are, and as what they can be taken."""
+    n = F.col("event_id") % 4
+    made = F.when(n == 3, F.to_variant_object(F.array("event_type"))).when(n == 2, (F.col("event_id") > 5).cast("variant")).when(n == 1, F.col("event_type").cast("variant")).otherwise(F.col("event_id").cast("variant"))
+    rows = _events(spark, sf_dir).select("event_id", made.alias("v"))
+    return rows.select("event_id", anyvalue.kind("v").alias("kind"), anyvalue.get_as("v", "number").alias("number"), anyvalue.get_as("v", "string").alias("string"), F.get(anyvalue.get_as("v", "list"), 0).cast("string").alias("first"))
 
 
 # ---- the durable tier in bulk: documents by source, labels as a second tier
@@ -483,7 +630,7 @@ def json_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", jsondoc.get(F.col("props"), "k").alias("value"))
 
 
-@query("""SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","type":"' || event_type || '"}' AS body FROM events""")
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"type":"' || event_type || '"}' AS body FROM events""")
 def json_update_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", jsondoc.update_value(F.col("props"), "type", F.col("event_type")).alias("body"))
 
@@ -493,6 +640,63 @@ def json_delete_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", jsondoc.delete_key(F.col("props"), "k").alias("body"))
 
 
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of members of all types for each event; some are missing, some broken."""
+    tags = F.array(F.col("event_type"), (F.col("event_id") % 10).cast("string"))
+    inner = F.struct(F.col("event_id").alias("n"), F.array(F.col("event_id"), F.lit(2).cast("long")).alias("of"))
+    body = F.to_json(F.struct(F.col("user_id").alias("id"), (F.col("event_id") % 2 == 0).alias("even"), F.col("event_type").alias("name"), tags.alias("tags"), inner.alias("inner")))
+    body = F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, F.lit("{broken")).otherwise(body)
+    return _events(spark, sf_dir).select("event_id", "event_type", body.alias("body"))
+
+
+def _mixed_sql(edited: str, missing: str) -> str:
+    """The same documents with one member edited; missing is what becomes of a missing document."""
+    members = {
+        "id": "'\"id\":' || user_id", "even": "'\"even\":' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END", "name": "'\"name\":\"' || event_type || '\"'",
+        "tags": "'\"tags\":[\"' || event_type || '\",\"' || event_id % 10 || '\"]'", "inner": "'\"inner\":{\"n\":' || event_id || ',\"of\":[' || event_id || ',2]}'",
+    }
+    key, _, value = edited.partition("=")
+    parts = [v for k, v in members.items() if k != key] + ([value] if value else [])
+    joined = " || ',' || ".join(parts)
+    return f"SELECT event_id, CASE WHEN event_id % 11 = 0 THEN {missing} WHEN event_id % 13 = 0 THEN '{{broken' ELSE '{{' || {joined} || '}}' END AS body FROM events"
+
+
+@query(_mixed_sql("""name='"name":"' || event_id || '"'""", """'{"name":"' || event_id || '"}'"""))
+def json_update_value_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.update_value(F.col("body"), "name", F.col("event_id").cast("string")).alias("body"))
+
+
+@query(_mixed_sql("name='\"name\":' || event_id", "'{\"name\":' || event_id || '}'"))
+def json_update_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.update_value(F.col("body"), "name", F.col("event_id")).alias("body"))
+
+
+@query(_mixed_sql("even", "'{}'"))
+def json_delete_key_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.delete_key(F.col("body"), "even").alias("body"))
+
+
+@query(_mixed_sql("""tags='"tags":["z","' || event_type || '"]'""", """'{"tags":["z","' || event_type || '"]}'"""))
+def json_write_array_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.write_array(F.col("body"), "tags", F.array(F.lit("z"), F.col("event_type"))).alias("body"))
+
+
+@query(_mixed_sql("""tags='"tags":["' || event_type || '","' || event_id % 10 || '",' || event_id || ']'""", "'{\"tags\":[' || event_id || ']}'"))
+def json_append_to_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.append_to_array(F.col("body"), "tags", F.col("event_id")).alias("body"))
+
+
+@query(_mixed_sql("""tags='"tags":["' || event_id % 10 || '"]'""", "NULL"))
+def json_remove_from_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).select("event_id", jsondoc.remove_from_array(F.col("body"), "tags", F.lit(0)).alias("body"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 0 ELSE 2 END AS n, CASE WHEN event_id % 11 <> 0 AND event_id % 13 <> 0 THEN event_type END AS first FROM events")
+def json_get_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = jsondoc.array(F.col("body"), "tags")
+    return _mixed(spark, sf_dir).select("event_id", F.size(tags).alias("n"), F.get(tags, 0).alias("first"))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document {"tokens": [...]} for each user, of event types in order."""
     held = lists_by_key(_events(spark, sf_dir), "user_id", "event_type", "event_id")
@@ -540,12 +744,20 @@ def fingerprint_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", security.fingerprint(F.col("c_name"), F.col("c_mktsegment")).alias("print"))
 
 
-@query()
+@query("SELECT c_custkey % 7 <> 0 AS verified, count(*) AS n FROM customer GROUP BY 1")
 def password_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     tries = session_commands(spark, sf_dir).where("verb = 'LIN'").select(F.col("arg").alias("group"), F.col("rest").alias("password"))
     return access.login(groups(spark, sf_dir), tries).groupBy("verified").agg(F.count("*").alias("n"))
 
 
+HASHES = ", ".join(f"({k}, '{base64.b64encode(hashlib.sha512(f's{k}pw{k}'.encode()).digest()).decode()}')" for k in range(25))
+
+
+@query(f"SELECT n_name AS \"group\", h AS access FROM nation JOIN (VALUES {HASHES}) t(k, h) ON k = n_nationkey")
+def password_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(spark, sf_dir).select("group", "access")
+
+
 @query("SELECT c_custkey, c_custkey % 3 <> 2 AS shaped FROM customer")
 def token_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = F.when(F.col("c_custkey") % 3 == 0, F.repeat(F.lit("aZ09"), F.lit(32))).when(F.col("c_custkey") % 3 == 1, F.sha2("c_name", 512)).otherwise(F.col("c_name"))
@@ -569,7 +781,10 @@ def key_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.missing(F.col("url")).alias("reply"))
 
 
-@query("SELECT event_id AS seq, sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id % 50 ORDER BY event_id)::BIGINT AS open, event_type = 'error' OR sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER (PARTITION BY user_id % 50 ORDER BY event_id) <= 12 AS admitted FROM events")
+@query("""WITH RECURSIVE log AS (SELECT event_id AS seq, user_id % 50 AS ip, event_type = 'error' AS closes, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS n FROM events),
+run AS (SELECT ip, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS open, CAST(NULL AS BIGINT) AS seq, true AS admitted FROM (SELECT DISTINCT ip FROM log)
+  UNION ALL SELECT l.ip, l.n, CASE WHEN closes THEN greatest(r.open - 1, 0) WHEN r.open >= 12 THEN r.open ELSE r.open + 1 END, l.seq, closes OR r.open < 12 FROM run r JOIN log l ON l.ip = r.ip AND l.n = r.n + 1)
+SELECT seq, open, admitted FROM run WHERE seq IS NOT NULL""")
 def ip_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).cast("string").alias("ip"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("delta"))
     return telemetry.admission(rows).select("seq", "open", "admitted")
@@ -610,14 +825,12 @@ def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EFF} SELECT seq, project, key, coalesce(cached, durable) AS value FROM got WHERE verb = 'GET'")
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lookups, answered by a stream over the log in one run."""
-    import uuid
-
     from kvlake.streaming import fold as stream
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="kvlake-")
     top = f"{base}/stream/{uuid.uuid4().hex}"
     commands(spark, sf_dir).drop("flag").write.parquet(f"{top}/log")

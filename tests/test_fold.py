@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlake.client import Client, NotAuthenticated
+from kvlake.functions import text
 from kvlake.operators import fold
 from kvlake.sources.files import parse_commands
 
@@ -22,6 +23,8 @@ def simulate(log):
             out[seq] = first.get(at, then.get(at))
             if verb == "HEAVEN":
                 cache.clear()
+        elif verb in ("SET", "UPDATE") and value is None:
+            continue
         elif verb == "SET":
             cache[at] = value
             if "-&save" in flags:
@@ -43,7 +46,8 @@ def random_log(seed, n=400):
         verb = rng.choices(["GET", "SET", "UPDATE", "DEL", "HEAVEN"], [6, 5, 2, 3, 1])[0]
         flags = {"GET": ["", "-&from-protobuff"], "SET": ["", "-&save"], "DEL": ["", "-&cache", "-&protobuff"]}.get(verb, [""])
         flag = rng.choice(flags)
-        log.append((seq, "s", f"p{rng.randrange(2)}", verb, f"k{rng.randrange(6)}", f"v{seq}", [flag] if flag else []))
+        value = f"v{seq}" if rng.random() < 0.8 else None
+        log.append((seq, "s", f"p{rng.randrange(2)}", verb, f"k{rng.randrange(6)}", value, [flag] if flag else []))
     return log
 
 
@@ -51,6 +55,7 @@ def random_log(seed, n=400):
 def test_fold_is_the_simulation(spark, few, span, monkeypatch):
     plain = fold.last_barrier
     monkeypatch.setattr(fold, "last_barrier", lambda rows: plain(rows, few, span))
+    monkeypatch.setattr(fold, "SPAN", span)
     for seed in range(3):
         log = random_log(seed)
         out, cache, durable = simulate(log)
@@ -89,6 +94,14 @@ def test_values_keep_and_lose_blanks(spark):
     assert {r["seq"]: r["status"] for r in fold.replies(rows).collect()}[6] == "error"
 
 
+def test_commands_with_too_few_parts_say_how_they_are_used(spark):
+    lines = spark.createDataFrame([(0, "s", "SET k v1"), (1, "s", "SET k"), (2, "s", "UPDATE k"), (3, "s", "GET k"), (4, "s", "set k "), (5, "s", "GET k"), (6, "s", "DEL"), (7, "s", "PING")], "seq long, session string, line string")
+    rows = parse_commands(lines).withColumn("project", F.lit("P"))
+    assert {r["seq"]: r["value"] for r in fold.answers(rows).collect()} == {3: "v1", 5: ""}
+    said = {r["seq"]: r["reply"] for r in fold.replies(rows).collect()}
+    assert said == {0: "Ok (Cache)", 1: text.USAGE["SET"], 2: text.USAGE["UPDATE"], 4: "Ok (Cache)", 6: text.USAGE["DEL"], 7: "ERROR: Unknown command"}
+
+
 def test_empty_log(spark):
     rows = spark.createDataFrame([], SCHEMA)
     assert fold.answers(rows).count() == 0 and fold.state(rows).count() == 0

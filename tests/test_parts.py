@@ -2,12 +2,13 @@
 
 import base64
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from kvlake.functions import security, sizing, text
-from kvlake.operators import access, jsondoc, tiers
+from kvlake.functions import anyvalue, security, sizing, text
+from kvlake.operators import access, jsondoc, telemetry, tiers
 from kvlake.operators.keyed import Keyed
 from kvlake.plans.queries import commands, stream_fold
 from kvlake.sources import files, wire
@@ -67,6 +68,62 @@ def test_json_edges(spark):
     assert [r["x"] for r in rows.select(jsondoc.array(F.col("body"), "tokens").alias("x")).collect()] == [["a"], [], []]
 
 
+def test_json_edits_keep_types_and_other_members(spark):
+    body = '{"a":1,"o":{"p":[1]},"t":true,"z":null,"s":"x\\"y","l":["u",2]}'
+    rows = spark.createDataFrame([(0, body), (1, "broken"), (2, None), (3, "[1]")], "i int, body string")
+    held = lambda c: [r["x"] for r in rows.select("i", c.alias("x")).orderBy("i").collect()]
+    b = F.col("body")
+    assert held(jsondoc.update_value(b, "a", F.lit("n"))) == ['{"o":{"p":[1]},"t":true,"z":null,"s":"x\\"y","l":["u",2],"a":"n"}', "broken", '{"a":"n"}', "[1]"]
+    assert held(jsondoc.update_value(b, "q", F.lit(2.5)))[0] == body[:-1] + ',"q":2.5}'
+    assert held(jsondoc.delete_key(b, "o"))[:3] == ['{"a":1,"t":true,"z":null,"s":"x\\"y","l":["u",2]}', "broken", "{}"]
+    assert held(jsondoc.write_array(b, "l", F.array(F.lit(1))))[0] == body.replace('["u",2]', "[1]")
+    assert held(jsondoc.append_to_array(b, "l", F.lit(True)))[:3] == [body.replace('["u",2]', '["u",2,true]'), "broken", '{"l":[true]}']
+    assert held(jsondoc.append_to_array(b, "a", F.lit("x")))[0] == body
+    assert held(jsondoc.remove_from_array(b, "l", F.lit(0)))[0] == body.replace('["u",2]', "[2]")
+    assert held(jsondoc.remove_from_array(b, "l", F.lit(2))) == [body, "broken", None, "[1]"]
+    assert held(jsondoc.array(b, "l")) == [["u", "2"], [], [], []]
+    assert held(jsondoc.pretty(b))[1:] == ["broken", "{ }", "[1]"] and len(held(jsondoc.pretty(b))[0].splitlines()) > 5
+
+
+def test_values_of_any_type(spark):
+    rows = spark.createDataFrame([("1",), ('"x"',), ("true",), ("[1]",), ("{}",), ("null",), ("1.5",)], "j string").select(F.parse_json("j").alias("v"))
+    assert [r["k"] for r in rows.select(anyvalue.kind("v").alias("k")).collect()] == ["number", "string", "boolean", "list", "object", "null", "number"]
+    assert [r["x"] for r in rows.select(anyvalue.get_as("v", "number").alias("x")).collect()] == [1.0, None, None, None, None, None, 1.5]
+    with pytest.raises(Exception, match="Value is not a list"):
+        rows.select(anyvalue.get_as("v", "list", strict=True)).collect()
+
+
+def test_admission_follows_the_rule(spark):
+    rng, log, open_, want = random.Random(1), [], 0, []
+    for seq in range(400):
+        attempt = rng.random() < (0.8 if seq // 40 % 2 else 0.3)
+        if attempt:
+            want.append((seq, min(open_ + 1, 12), open_ < 12))
+            open_ = min(open_ + 1, 12)
+        elif open_:
+            open_ -= 1
+            want.append((seq, open_, True))
+        else:
+            continue
+        log.append((seq, "a", 1 if attempt else -1))
+    rows = telemetry.admission(spark.createDataFrame(log, "seq long, ip string, delta int"))
+    assert sorted((r["seq"], r["open"], r["admitted"]) for r in rows.collect()) == want
+    early = telemetry.admission(spark.createDataFrame([(0, "a", -1), (1, "a", 1), (2, "a", -1)], "seq long, ip string, delta int"))
+    assert [r["open"] for r in early.orderBy("seq").collect()] == [0, 1, 0]
+
+
+def test_settings_and_password_stores(spark):
+    held = spark.createDataFrame([("g", "salt", "a"), ("g", "unix", "1")], "section string, key string, value string")
+    wanted = spark.createDataFrame([("g", "salt", "b"), ("h", "salt", "c")], "section string, key string, value string")
+    assert sorted(map(tuple, access.set_settings(held, wanted).collect())) == [("g", "salt", "b"), ("g", "unix", "1"), ("h", "salt", "c")]
+    assert sorted(map(tuple, access.set_settings(held, wanted, only_present=True).collect())) == [("g", "salt", "b"), ("g", "unix", "1")]
+    store = spark.createDataFrame([("g", "x"), ("h", "y")], "group string, password string")
+    new = spark.createDataFrame([("g", "z")], "group string, password string")
+    assert sorted(map(tuple, access.put_passwords(store, new).collect())) == [("g", "z"), ("h", "y")]
+    assert sorted(map(tuple, access.put_passwords(store, new, loaded=False).collect())) == [("g", "z")]
+    assert access.burn(store).count() == 0
+
+
 def test_passwords_and_log_lines(spark):
     lines = spark.createDataFrame([("g:a:b==",), ("bad",)], "value string")
     assert [tuple(r) for r in files.parse_passwords(lines).collect()] == [("g", "a:b==")]
@@ -88,8 +145,10 @@ def test_observed_modes(spark):
 
 def test_new_group_and_login(spark):
     groups = spark.createDataFrame([], "group string, salt string, access string, hash string, unix long, accessibility array<string>")
-    groups = access.create(access.create(groups, "g", "s", "pw", 1), "g", "t", "other", 2)
+    new = lambda *row: spark.createDataFrame([row], "group string, salt string, password string, unix long")
+    groups = access.create(access.create(groups, new("g", "s", "pw", 1)), new("g", "t", "other", 2))
     assert groups.count() == 1
+    assert {r["group"]: r["found"] for r in access.exists(groups, spark.createDataFrame([("g",), ("h",)], "group string")).collect()} == {"g": True, "h": False}
     tries = spark.createDataFrame([("g", "pw"), ("g", "no"), ("h", "pw")], "group string, password string")
     assert sorted(r["verified"] for r in access.login(groups, tries).collect()) == [False, False, True]
 
