@@ -22,18 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def folder(spark: SparkSession) -> str:
+    """Where the tables of this application are."""
+    return f"{shared_dir(spark)}/kvlake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables of this application, when no result of it is to be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: the lineage ends, and a lost executor costs only the reading.
 
     The shuffle files of the write are released when it has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kvlake/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote, when nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/kvlake/{spark.sparkContext.applicationId}/" in path:
+                there = spark._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
