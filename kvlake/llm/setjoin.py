@@ -12,10 +12,11 @@ document its set's size and the least doc_id that links reach.
   n - ceil(percent * n / 100) + 1, and the first that they share leaves enough after it in both. Rare shingles come first in that order, by
   a count over all documents in a table of fixed size (SKETCH counters). The order decides only the cost, never the result.
 * The boundary is where subsets get dearer than lists, by the counts of the sets of each size.
-* A list is not expanded into pairs, and a pair's sets are fetched only if their parities, a few words each, allow a link. Each list's smallest set is compared with the others, links are merged into groups, and only lists
-  that still hold sets of different groups go on: each set is compared with a few drawn from other groups, as long as that finds links,
+* A list is not expanded into pairs, and a pair's sets are fetched only if their parities, a few words each, allow a link. Each list's hub is compared with the others, links are merged into groups, and only lists
+  that still hold sets of different groups go on: each set is compared with a few drawn from other groups, as long as that finds many links,
   and at last come the pairs of different groups that have not been compared. So a group of near copies costs a few comparisons a member,
-  and no link between different groups is lost.
+  and no link between different groups is lost; pairs that parities rule out are dropped where they meet. A set's first comparison is with the hub of most of its lists; the hubs of its
+  other lists follow only where they are still in another group.
 
 Nulls and edges: a null or empty text has size 0 and its own doc_id; a null doc_id never becomes a component's id unless all its members
 are null; rows repeated in full are alike and so in one group; an empty table gives an empty result; extra columns don't matter.
@@ -32,12 +33,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.llm import arrays as A
 from kvlake.llm.lines import row_id
-from kvlake.llm.store import cut
+from kvlake.llm.store import cut, release
 
 WIDTH, PERCENT = 5, 80
 #: Counters of the frequency table: a fixed size, whatever the input.
@@ -45,6 +46,7 @@ SKETCH = 1 << 20
 PARTS = 16
 #: Bits of a set's parity.
 PARITY = 1_024
+PARITIES = tuple(f"p{k}" for k in range(PARITY // 64))
 #: No set of more shingles is joined by subsets.
 LIGHT_MOST = 12
 #: A posting costs this many subsets, since what it finds has to be fetched and compared.
@@ -216,7 +218,7 @@ def _merged(label: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, shingles and parity (PARITY bits: how many shingles fall on each, modulo 2) of the wanted nodes, from one document of each."""
+    """node, n, shingles and parity (PARITY bits: how many shingles fall on each, modulo 2) of the wanted nodes, from one document of each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,28 +226,33 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> D
                 doc, h = shingle_sets(data, bounds, width)
                 offsets = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 bits = np.bincount(doc * PARITY + (A.mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=(j - i) * PARITY).reshape(-1, PARITY) & 1
-                words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).ravel()
-                parity = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, PARITY // 64, dtype=np.int32)), pa.array(words))
-                yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), parity], ["node", "shingles", "parity"])
+                words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64).reshape(j - i, -1)
+                size = pa.array(np.diff(offsets).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), size, pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64))), *(pa.array(w) for w in words.T)], ["node", "n", "shingles", *PARITIES])
 
     chosen = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     held = docs.select(row_id().alias("rid"), "text").join(chosen, "rid").select("node", "text").dropDuplicates(["node"])
-    return held.mapInArrow(rows, "node long, shingles array<long>, parity array<long>")
+    return held.mapInArrow(rows, "node long, n int, shingles array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
+
+
+def may_link(one: Column, two: Column, percent: int) -> Column:
+    """Whether two sets (structs of n and parity) may link: they differ in at least as many shingles as their parities differ in bits."""
+    apart = sum((F.bit_count(one[p].bitwiseXOR(two[p])) for p in PARITIES), F.lit(0))
+    n = one["n"] + two["n"]
+    return apart <= n - 2 * F.ceil(percent * n / (100 + percent))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link.
+    """The pairs (a, b) whose sets link. Only pairs that may link by their parities fetch their shingles."""
+    one, two = (sets.select(F.col("node").alias(x), F.struct("n", *PARITIES).alias(f"of_{x}")) for x in "ab")
+    close = pairs.join(two, "b").join(one, "a").where(may_link(F.col("of_a"), F.col("of_b"), percent)).select("a", "b")
+    return _compared(cut(close), sets, percent)
 
-    Two sets differ in at least as many shingles as their parities differ in bits: pairs for which that is too many go first, and only the
-    others fetch their shingles.
-    """
-    size = F.size("shingles")
-    one, two = (sets.select(F.col("node").alias(x), size.alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    n = F.col("n_a") + F.col("n_b")
-    least = F.ceil(percent * n / (100 + percent))
-    close = cut(pairs.join(two, "b").join(one, "a").where(apart <= n - 2 * least).select("a", "b"))
-    one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
+
+def _compared(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    some = cut(sets.select("node", "shingles").join(wanted, "node", "left_semi"))
+    one, two = (some.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab")
     met = close.join(two, "b").join(one, "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return met.where(100 * F.col("common") >= percent * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b")
 
@@ -257,56 +264,72 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
 def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """groups() with label, which tells groups apart even where their ids are null or equal; null for texts without words."""
-    nodes = cut(_nodes(docs, _frequencies(docs, width), width, percent))
+    made = cut(_nodes(docs, _frequencies(docs, width), width, percent))
+    nodes = cut(made.select("doc_id", "rid", "n", "node"))
     by_size = {r["n"]: r["count"] for r in nodes.where((F.col("n") > 0) & (F.col("n") <= 2 * LIGHT_MOST)).groupBy("n").count().collect()}
     boundary = choose_boundary(by_size, percent)
-    links = cut(_subset_links(nodes, boundary, percent))
-
-    # inverted lists: sets that can link to a heavy one; each list with its smallest set
-    long_enough = 100 * F.col("n") >= percent * (boundary + 1)
-    postings = nodes.where(long_enough).select(F.posexplode("prefix").alias("place", "token"), "node", "n").dropDuplicates(["token", "node"])
-    on = Window.partitionBy("token").orderBy("n", "node")
-    ends = on.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    me = F.struct("node", "n", "place")
-    lists = postings.withColumn("hub", F.first(me).over(ends)).withColumn("last", F.last("node").over(ends))
-    lists = cut(lists.where("hub.node <> last").drop("last"))
-
-    def pairs_of(met: DataFrame, one: str, two: str) -> DataFrame:
-        """Distinct pairs of a list's members whose sizes, and what is left from the token on, allow a link."""
+    links = cut(_subset_links(made, boundary, percent))
+
+    # inverted lists: sets that can link to a heavy one, one row for each set; each list with a hub, its least set by hash
+    heavy = cut(made.where(100 * F.col("n") >= percent * (boundary + 1)).groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
+    release(made)
+    postings = heavy.select(F.posexplode("prefix").alias("place", "token"), "node", "n")
+    me = F.struct("n", "node", "place")
+    # the hub's size and place travel in one number, as Spark aggregates numbers by hash alone
+    both = F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")
+    hub = F.struct(F.shiftright("held", 32).cast("int").alias("n"), "node", F.col("held").bitwiseAND(0xFFFFFFFF).cast("int").alias("place"))
+    hubs = postings.groupBy("token").agg(F.min("node").alias("node"), F.min_by(both, "node").alias("held"), F.count("*").alias("times"))
+    hubs = cut(hubs.where("times > 1").select("token", hub.alias("hub")))
+    lists = cut(postings.join(hubs, "token").select("token", "node", me.alias("me"), "hub"))
+    release(heavy, hubs)
+
+    def open_pairs(one: str, two: str) -> Column:
+        """Whether sizes, and what is left from the token on, allow a link between two members of a list."""
         (n, i), (m, j) = ((F.col(f"{x}.n"), F.col(f"{x}.place")) for x in (one, two))
         enough = (100 + percent) * F.least(n - i, m - j) >= percent * (n + m)
-        x, y = F.col(f"{one}.node"), F.col(f"{two}.node")
-        return met.where((x != y) & enough & (100 * F.least(n, m) >= percent * F.greatest(n, m))).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+        return (F.col(f"{one}.node") != F.col(f"{two}.node")) & enough & (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
-    pairs = cut(pairs_of(lists.select("hub", me.alias("me")), "hub", "me"))
+    # first each set with the hub of most of its lists, then with those of its other lists that are still in another group
+    hubbed = cut(lists.where(open_pairs("hub", "me")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("k")))
+    first = hubbed.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")).select("a", "b")
     sets = cut(_sets(docs, nodes, lists.select("node").distinct(), width))
-    tested, turn, worth = pairs, 0, True
-    label = _merged(None, links.union(cut(_linked(pairs, sets, percent))))
+    label = _merged(None, links.union(cut(_linked(first, sets, percent))))
+    of = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    apart = hubbed.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    rest = cut(apart.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    label = _merged(label, cut(_linked(rest, sets, percent)))
+    tested = cut(ordered(first).union(ordered(rest)))
+    lists, turn, worth = lists.select("token", "node", "me"), 0, True
     while True:
         turn += 1
-        coloured = lists.select("token", "node", me.alias("me")).join(label, "node", "left").select("token", "me", F.coalesce("label", "node").alias("label"))
+        coloured = lists.join(label, "node", "left").select("token", "node", "me", F.coalesce("label", "node").alias("label"))
         mixed = coloured.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        open_lists = cut(coloured.join(mixed, "token"))
+        open_lists = cut(coloured.join(cut(mixed), "token"))
         classes = open_lists.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         n_open, n_members = classes.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
         if not n_open:
             break
         drawn = n_open > OPEN_PAIRS * n_members and worth
+        # pairs that can't link by their parities are dropped where they meet
+        with_parity = open_lists.join(sets.select("node", F.struct("n", *PARITIES).alias("parity")), "node").select("token", "label", "me", "parity")
         if drawn:
             order = Window.partitionBy("token").orderBy(F.xxhash64("me.node", F.lit(turn)))
-            near = F.array(*[F.lead(F.struct("me", "label"), k).over(order) for k in range(1, DRAWN + 1)])
-            met = open_lists.withColumn("near", near).select("me", "label", F.explode("near").alias("c")).where(F.col("label") != F.col("c.label")).select("me", F.col("c.me").alias("other"))
+            near = F.array(*[F.lead(F.struct("me", "label", "parity"), k).over(order) for k in range(1, DRAWN + 1)])
+            met = with_parity.withColumn("near", near).select("me", "label", "parity", F.explode("near").alias("c"))
+            met = met.select("me", "label", "parity", F.col("c.me").alias("other"), F.col("c.label").alias("other_label"), F.col("c.parity").alias("other_parity"))
         else:
-            other = open_lists.select("token", F.col("me").alias("other"), F.col("label").alias("other_label"))
-            met = open_lists.join(other, "token").where((F.col("me.node") < F.col("other.node")) & (F.col("label") != F.col("other_label")))
-        pairs = pairs_of(met, "me", "other")
+            other = with_parity.select("token", F.col("me").alias("other"), F.col("label").alias("other_label"), F.col("parity").alias("other_parity"))
+            met = with_parity.join(other, "token").where(F.col("me.node") < F.col("other.node"))
+        met = met.where((F.col("label") != F.col("other_label")) & open_pairs("me", "other") & may_link(F.col("parity"), F.col("other_parity"), percent))
+        pairs = ordered(met.select(F.col("me.node").alias("a"), F.col("other.node").alias("b"))).distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(_linked(pairs, sets, percent))
+        found = cut(_compared(pairs, sets, percent))
         tested = tested.union(pairs)
         label = _merged(label, found)
         if not drawn:
             break
-        worth = 4 * found.count() > pairs.count()
+        worth = 100 * found.count() > n_members
+        lists = open_lists.drop("label")
 
     known = nodes.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_label = known.join(label, "node").groupBy("label").agg(F.min("least").alias("component"))
@@ -317,12 +340,21 @@ def labelled(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     )
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each group stays (the least doc_id); texts without words all stay."""
+    """The rows of docs, with all their columns, of which one of each group stays (the least doc_id); rows without words all stay."""
     found = cut(labelled(docs).where("n_shingles > 0"))
     stay = found.groupBy("label").agg(F.min(F.struct("doc_id", "rid")).alias("first")).select("first.rid").distinct()
     gone = cut(found.select("rid").distinct().join(stay, "rid", "left_anti").select(F.col("rid").alias("gone_rid")))
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_id().alias("rid")).join(gone, F.col("rid") == F.col("gone_rid"), "left_anti")
-    if not found.groupBy("rid").count().where("count > 1").isEmpty():  # rows repeated in full
-        held = held.dropDuplicates(["rid"]) if "map" not in str(docs.schema).lower() else held.withColumn("k", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).where("k = 1")
-    return held.select("row.*")
+    # of rows with words and equal id and text, the one that comes first as JSON
+    twice = found.groupBy("rid").agg(F.count("*").alias("k")).where("k > 1").select(F.col("rid").alias("twice_rid"))
+    if twice.isEmpty():
+        return held.select("row.*")
+    held, twice = cut(held), cut(twice)
+    again = F.col("rid") == F.col("twice_rid")
+    one = held.join(twice, again, "left_semi").groupBy("rid").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return held.join(twice, again, "left_anti").select("row.*").union(one.select("row.*"))

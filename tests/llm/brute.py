@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import regex
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, row int, words string, spans string, score string, node int"
 
 
@@ -106,19 +108,75 @@ def components(texts, ids):
 
 
 def lines(texts, ids, least=50):
-    """Texts without later copies of runs of 2**k lines of at least `least` characters."""
-    held = [None if t is None else t.split("\n") for t in texts]
-    order = sorted((i for i in range(len(held)) if held[i] is not None), key=lambda i: (ids[i] is not None, ids[i]))
+    """Texts without the later copies of runs of any number of lines of at least `least` characters."""
+    held = [[] if t is None else t.split("\n") for t in texts]
+    order = sorted(range(len(held)), key=lambda i: (ids[i] is not None, ids[i]))
     gone = [set() for _ in held]
-    size = 1
-    while any(h and len(h) >= size for h in held):
-        first = {}
+    size, repeated = 1, True
+    while repeated:  # no longer run repeats if none of this size does
+        seen, repeated = set(), False
         for i in order:
             for at in range(len(held[i]) - size + 1):
                 run = tuple(held[i][at : at + size])
-                if run not in first:
-                    first[run] = (ids[i], texts[i], at)
-                elif first[run] != (ids[i], texts[i], at) and sum(map(len, run)) >= least:
-                    gone[i] |= set(range(at, at + size))
-        size *= 2
-    return [None if h is None else "\n".join(x for k, x in enumerate(h) if k not in g) for h, g in zip(held, gone, strict=True)]
+                if run in seen:
+                    repeated = True
+                    if sum(map(len, run)) >= least:
+                        gone[i] |= set(range(at, at + size))
+                seen.add(run)
+        size += 1
+    return [None if t is None else "\n".join(x for k, x in enumerate(h) if k not in g) for t, h, g in zip(texts, held, gone, strict=True)]
+
+
+def template(text, units):
+    """Words without case, and the same with slots."""
+    cased = regex.findall(r"[\p{L}\p{N}]+", text or "")
+    telling = regex.search(r"\p{Ll}", text or "")
+    words = [w.upper().lower() for w in cased]
+
+    def slot(c, w):
+        if regex.match(r"\p{N}", c):
+            return "#number"
+        if telling and regex.match(r"[\p{Lu}\p{Lt}]", c):
+            return "#name"
+        return "#unit" if w in units else w
+
+    return words, [slot(c, w) for c, w in zip(cased, words, strict=True)]
+
+
+def leaked_words(item, text, units, width=8, least=12):
+    """Most words of the item that the text holds on one diagonal with consistent slots; 0 if they are too few."""
+    (words, names), (of_text, names_of_text) = template(item, units), template(text, units)
+    n = len(words)
+    width = min(width, n)
+    if not n:
+        return 0
+    starts = range(n - width + 1)
+    plain = lambda w: sum(not x.startswith("#") for x in w)
+    vague = {at: plain(names[at : at + width]) < 4 and plain(names[at : at + width]) < width for at in starts}
+    if n >= 8 and all(vague.values()):
+        vague = dict.fromkeys(starts, False)
+    diagonals = {}
+    for at in starts:
+        for place in range(len(of_text) - width + 1):
+            typed = not vague[at] and names[at : at + width] == names_of_text[place : place + width]
+            if typed or words[at : at + width] == of_text[place : place + width]:
+                diagonals.setdefault(place - at, set()).add(at)
+    best = 0
+    for d, held in diagonals.items():
+        covered = sorted({p for at in held for p in range(at, at + width)})
+        pairs = {p: (words[p], of_text[p + d]) for p in covered if names[p].startswith("#")}
+        times = Counter(pairs.values())
+        kept = {a: min((b for x, b in times if x == a), key=lambda b, a=a: (-times[a, b], b)) for a, _ in times}
+        bad = {p for p, (a, b) in pairs.items() if kept[a] != b}
+        left = {p for at in held if not bad & set(range(at, at + width)) for p in range(at, at + width)}
+        longest = 0
+        for i, p in enumerate(covered):
+            seen = {}
+            for k, q in enumerate(covered[i:]):
+                a, b = pairs.get(q, (None, None))
+                if q != p + k or (a is not None and seen.setdefault(a, b) != b):
+                    break
+                longest = max(longest, k + 1)
+        found = max(len(left), longest) if bad else len(covered)
+        best = max(best, found if found >= min(least, n) else 0)
+    return best
