@@ -6,8 +6,9 @@ Spark tasks then average the embeddings over each whole text. A temperature, and
 come from a part of the sample that is set aside.
 
 A text that is null or has no letter gets `und`, score 0 and rejected = true. Nulls in other columns are not looked at, rows without a
-language are not learned from, repeated rows are predicted one by one, and an empty table gives an empty result. Where no row can be
-learned from, all is `und`.
+language are not learned from, repeated rows are predicted one by one (and learned from once for each id), and an empty table gives an
+empty result. Where no row can be learned from, all is `und`. Languages that tie go by their names. A very long text is worked on as a
+whole, with some ten arrays of its length in a task. Ids may be of any type that can be ordered; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def train(docs: DataFrame, most: int = SAMPLE_ROWS) -> Model:
                     ["doc_id", "lang", "bucket", "share"],
                 )
 
-    got = known.join(F.broadcast(ids), "doc_id").mapInArrow(rows, "doc_id long, lang string, bucket array<int>, share array<float>").toPandas()
+    got = known.join(F.broadcast(ids), "doc_id").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, bucket array<int>, share array<float>").toPandas()
     got = got.sort_values(["doc_id", "lang"], kind="stable").drop_duplicates("doc_id")
     languages = sorted(got["lang"].unique())
     x = np.zeros((len(got), BUCKETS), dtype=np.float32)

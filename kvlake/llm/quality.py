@@ -4,7 +4,9 @@ The statistics of each document are computed by Spark tasks, the trees are grown
 rows (SAMPLE_ROWS, the only bound here), flattened into arrays, and every document is scored by a vectorised walk inside Spark tasks.
 
 Empty and null texts have statistics (zeros) and so a score like any other; nulls in other columns are not looked at. Repeated rows are
-scored one by one. Without any labelled row the score is 0.5 throughout. An empty table gives an empty result.
+scored one by one. Without any labelled row the score is 0.5 throughout. An empty table gives an empty result. Splits that tie go to the
+first statistic and the least value. A very long text is worked on as a whole, with some ten arrays of its length in a task. Extra columns
+are ignored by classify() and carried by score(), whatever their names, as they travel in a struct.
 """
 
 from __future__ import annotations
