@@ -80,6 +80,11 @@ def remove_at(items: Column, index: Column) -> Column:
     return F.filter(items, lambda x, i: i != index)
 
 
+def set_at(items: Column, index: Column, item: Column) -> Column:
+    """With another item at a place counted from 0; unchanged where there is none."""
+    return F.transform(items, lambda x, i: F.when(i == index, item).otherwise(x))
+
+
 def append_size(items: Column, item: Column) -> Column:
     """How many items there are after one is appended; equal ones are kept."""
     return F.size(append(items, item))

@@ -17,13 +17,33 @@ def write_snapshot(tier: DataFrame, path: str) -> None:
     tier.repartition("project", "key").sortWithinPartitions("project", "key").write.partitionBy("project").parquet(path)
 
 
-def upsert(tier: DataFrame, rows: DataFrame) -> DataFrame:
-    """The row of the largest seq for each project and key, by partial aggregation; the new row wins a tie."""
+def upsert(tier: DataFrame, rows: DataFrame, observed: bool = False) -> DataFrame:
+    """The row of the largest seq for each project and key, by partial aggregation; the new row wins a tie.
+
+    As observed, the first write to a project that the tier doesn't hold is lost.
+    """
+    if observed:
+        fresh = rows.join(tier.select("project").distinct(), "project", "left_anti").groupBy("project").agg(F.min("seq").alias("seq"))
+        rows = rows.join(fresh, ["project", "seq"], "left_anti")
     both = tier.withColumn("turn", F.lit(0)).unionByName(rows.withColumn("turn", F.lit(1)))
     last = both.groupBy("project", "key").agg(F.max_by(F.struct("value", "seq"), F.struct("seq", "turn")).alias("r"))
     return last.select("project", "key", "r.value", "r.seq")
 
 
+def get(tier: DataFrame, keys: DataFrame, default: str | None = None, strict: bool = False) -> DataFrame:
+    """project, key, value of each asked (project, key); what is missing has the default, or is an error where strict is asked for."""
+    on = ["project", "key"]
+    met = keys.select(*on).join(tier.select(*on, "value"), on, "left")
+    missing = F.raise_error(F.concat(F.lit("no such key: "), F.col("key"))).cast("string") if strict else F.lit(default).cast("string")
+    return met.select(*on, F.coalesce("value", missing).alias("value"))
+
+
+def contains(tier: DataFrame, keys: DataFrame) -> DataFrame:
+    """project, key, found of each asked (project, key)."""
+    on = ["project", "key"]
+    return keys.select(*on).join(tier.select(*on, F.lit(True).alias("hit")), on, "left").select(*on, F.coalesce("hit", F.lit(False)).alias("found"))
+
+
 def delete(tier: DataFrame, keys: DataFrame) -> DataFrame:
     return tier.join(keys.select("project", "key"), ["project", "key"], "left_anti")
 

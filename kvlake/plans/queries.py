@@ -613,6 +613,29 @@ def tier_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.restore(second(spark, sf_dir), durable(spark, sf_dir), "src3").select("project", "key", "value")
 
 
+def _some_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key of the durable tier, and as many that it doesn't hold."""
+    keys = durable(spark, sf_dir).select("project", "key")
+    return keys.unionByName(keys.select("project", F.concat(F.lit("no "), "key").alias("key")))
+
+
+@query("SELECT source AS project, CAST(doc_id AS VARCHAR) AS key, coalesce(text, 'none') AS value FROM documents UNION ALL SELECT source, 'no ' || doc_id, 'none' FROM documents")
+def map_get_or_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.get(durable(spark, sf_dir), _some_keys(spark, sf_dir), default="none")
+
+
+@query("SELECT source AS project, CAST(doc_id AS VARCHAR) AS key, true AS found FROM documents UNION ALL SELECT source, 'no ' || doc_id, false FROM documents")
+def map_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiers.contains(durable(spark, sf_dir), _some_keys(spark, sf_dir))
+
+
+@query("WITH firsts AS (SELECT source, min(doc_id) AS least FROM documents WHERE source <> 'src3' GROUP BY source) SELECT d.source AS project, CAST(doc_id AS VARCHAR) AS key, text AS value FROM documents d LEFT JOIN firsts f ON d.source = f.source WHERE least IS NULL OR doc_id <> least")
+def durable_upsert_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a tier that holds one project: of each other one, the first write is lost."""
+    rows = durable(spark, sf_dir)
+    return tiers.upsert(tiers.find_project(rows, "src3"), rows, observed=True).select("project", "key", "value")
+
+
 @query("SELECT source AS project, count(*) AS n_keys FROM documents GROUP BY source")
 def project_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.key_counts(durable(spark, sf_dir))
@@ -726,6 +749,12 @@ def json_array_remove_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("key", _items(jsondoc.remove_at(files.token_list(F.col("body")), F.lit(2))).alias("items"))
 
 
+@query(f"WITH {BODIES} SELECT key, array_to_string(items[1:1] || list_value('set') || items[3:], ',') AS items FROM bodies WHERE len(items) > 1")
+def json_array_set_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = files.token_list(F.col("body"))
+    return _bodies(spark, sf_dir).where(F.size(held) > 1).select("key", _items(jsondoc.set_at(held, F.lit(1), F.lit("set"))).alias("items"))
+
+
 @query(f"WITH {BODIES} SELECT key, 2 * len(items) AS n FROM bodies")
 def json_array_merge_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bodies(spark, sf_dir).select("key", jsondoc.merge_size(files.token_list(F.col("body")), F.col("items")).cast("bigint").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions import text
+from kvlake.operators import jsondoc
 
 
 def parse_commands(lines: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def read_passwords(spark: SparkSession, path: str) -> DataFrame:
 
 def token_list(body: Column, key: str = "tokens") -> Column:
     """The list at a key of a JSON text; empty where it is missing or broken."""
-    return F.coalesce(F.element_at(F.from_json(body, "map<string,array<string>>"), F.lit(key)), F.array().cast("array<string>"))
+    return jsondoc.array(body, key)
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:

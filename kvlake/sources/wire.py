@@ -1,5 +1,7 @@
 """Data source and codec for the wire format: a message of projects, each with a token and a map of texts.
 
+Two messages one after the other are their merger: repeated fields are joined, and the last value of a key counts.
+
 Field numbers: database.tokens = 1; project.token = 1, project.key_values = 2; entry.key = 1, entry.value = 2. All are of wire type 2.
 """
 
@@ -8,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -86,6 +88,34 @@ def decode_messages(messages: DataFrame) -> DataFrame:
     return messages.select("body").mapInPandas(rows, SCHEMA)
 
 
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """project, key, value of all files under a path of any store that Spark reads; each file is a message of its own."""
+    return decode_messages(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("content").alias("body")))
+
+
+def delimited(bodies: list[bytes]) -> bytes:
+    """Messages one after the other, each after its length."""
+    return b"".join(_varint(len(b)) + b for b in bodies)
+
+
+def split_delimited(data: bytes) -> Iterator[bytes]:
+    """The messages of such a text."""
+    at = 0
+    while at < len(data):
+        size = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            size |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                break
+        if at + size > len(data):
+            raise ValueError("the message is cut short")
+        yield data[at : at + size]
+        at += size
+
+
 def row_hash(tier: DataFrame) -> DataFrame:
     """One row: the number of rows and a hash of them that doesn't depend on their order."""
     return tier.agg(F.count("*").alias("n"), F.sum(F.xxhash64("project", "key", "value").cast("decimal(38,0)")).alias("h"))

@@ -23,6 +23,11 @@ def test_wire_source_reads_what_the_codec_wrote(spark, tmp_path):
     spark.dataSource.register(wire.WireSource)
     back = spark.read.format("kvwire").load(str(tmp_path / "db.bin"))
     assert wire.row_hash(back).first() == wire.row_hash(tier).first()
+    assert wire.row_hash(wire.read_files(spark, str(tmp_path))).first() == wire.row_hash(tier).first()
+    parts = [body, b"", body * 3]
+    assert list(wire.split_delimited(wire.delimited(parts))) == parts and list(wire.decode(body + body)) == list(wire.decode(body)) * 2
+    with pytest.raises(ValueError):
+        list(wire.split_delimited(wire.delimited(parts)[:-1]))
     with pytest.raises(ValueError):
         list(wire.decode(body[:-1]))
 
@@ -153,6 +158,18 @@ def test_new_group_and_login(spark):
     assert sorted(r["verified"] for r in access.login(groups, tries).collect()) == [False, False, True]
 
 
+def test_first_write_to_a_new_project_is_lost_as_observed(spark):
+    tier = spark.createDataFrame([("P", "k", "v", 1)], "project string, key string, value string, seq long")
+    rows = spark.createDataFrame([("P", "k", "w", 2), ("Q", "a", "x", 3), ("Q", "b", "y", 4)], "project string, key string, value string, seq long")
+    held = lambda t: sorted((r["project"], r["key"], r["value"]) for r in t.collect())
+    assert held(tiers.upsert(tier, rows)) == [("P", "k", "w"), ("Q", "a", "x"), ("Q", "b", "y")]
+    assert held(tiers.upsert(tier, rows, observed=True)) == [("P", "k", "w"), ("Q", "b", "y")]
+    asked = spark.createDataFrame([("P", "k"), ("P", "z")], "project string, key string")
+    assert held(tiers.get(tier, asked, default="none")) == [("P", "k", "v"), ("P", "z", "none")]
+    with pytest.raises(Exception, match="no such key: z"):
+        tiers.get(tier, asked, strict=True).collect()
+
+
 def test_snapshot_is_partitioned(spark, tmp_path):
     tier = spark.createDataFrame([("P", "k", "v", 1), ("Q", "k", "w", 2)], "project string, key string, value string, seq long")
     tiers.write_snapshot(tier, str(tmp_path / "s"))
