@@ -8,14 +8,17 @@ in the document less place in the item), and a match counts as a leak if at leas
 are covered by windows whose slots are consistent: each value of the item stands for one value of the document, which holds for copies
 and for re-parameterised questions, not for chance meetings of templates. Where a value stands for several, either the windows over all
 but its most frequent one are left out, like those over any changed word, or a stretch within which it stands for one is taken, whichever
-covers more. Template windows of items with less than half of WINDOW words outside slots are left out as too vague, unless an item of
+covers more. Template windows of items that have slots and less than half of WINDOW words besides are left out as too vague, unless an item of
 WINDOW words or more has no other; their plain windows count. Items of fewer than WINDOW words have one window of their whole length, and
 documents have windows of each such length.
 
-Nulls and edges: null and empty texts have no windows and never match; null ids are carried; rows repeated in full are reported once; empty tables give an empty result; extra columns are ignored.
+Nulls and edges: null and empty texts have no windows and never match; null ids are carried; rows repeated in full are reported once, as
+are items; of several texts of one item id, the best match is; of matches that tie in words, the one of more windows, then the one with
+other values in its slots; empty tables give an empty result; extra columns are ignored, whatever their names. What is joined is a few
+numbers for each window, never words, so a very long text costs in proportion to its length.
 
 Everything is DataFrame functions. The items' windows are broadcast only while they are at most BROADCAST_ROWS, counted first; beyond that
-the join shuffles. Matches are aggregated per document before any shuffle.
+the join shuffles. Matches are aggregated per document before any shuffle; words are fetched for the diagonals that are long enough alone.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm.lines import row_id
+from kvlake.llm.store import cut
 
 WINDOW = 8
 MIN_WORDS = 12
@@ -48,8 +52,8 @@ def with_words(rows: DataFrame) -> DataFrame:
     def slot(cased: Column, i: Column) -> Column:
         first = F.ascii(cased)
         return (
-            F.when(first.between(48, 57), F.lit(NUMBER).cast("long"))
-            .when(F.col("telling") & (first.between(65, 90) | first.between(192, 222)), F.lit(NAME).cast("long"))
+            F.when(first.between(48, 57) | (first > 127) & cased.rlike(r"^\p{N}"), F.lit(NUMBER).cast("long"))
+            .when(F.col("telling") & (first.between(65, 90) | (first > 127) & cased.rlike(r"^[\p{Lu}\p{Lt}]")), F.lit(NAME).cast("long"))
             .when(F.get("words", i).isin(*UNITS), F.lit(UNIT).cast("long"))
             .otherwise(F.get("plain", i))
         )
@@ -79,21 +83,26 @@ def short_windows(n: int) -> Column:
     return F.concat(typed, F.zip_with(typed, verbatim, lambda a, b: F.when(a != b, b)))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """window, item_id, item_words, at, words and slots of each window of the items."""
-    items = with_windows(with_words(benchmark.select("item_id", "text")))
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item (a key of its id and text), item_id, and the words of each item, as with_words has them."""
+    return with_words(benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"]))
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """window, item, item_words and at of each window of the items."""
+    items = with_windows(items)
     n = F.size("words")
     short = n.between(1, WINDOW - 1)
     typed, verbatim = F.xxhash64(n, "names"), F.xxhash64(n, "plain")
     items = items.withColumn("windows", F.when(short, F.array(typed, F.when(typed != verbatim, verbatim))).otherwise(F.col("windows"))).withColumn("size", F.when(short, 1).otherwise(F.col("size")))
-    rows = items.select("item_id", n.alias("item_words"), "words", "names", "size", F.posexplode_outer("windows").alias("pos", "window"))
-    rows = rows.withColumn("at", F.col("pos") % F.col("size"))
-    rows = rows.select(
-        "window", "item_id", "item_words", "at", F.slice("words", F.col("at") + 1, WINDOW).alias("item_slice"), F.transform(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x < 0).alias("slots"),
-        (F.col("pos") >= F.col("size")).alias("verbatim"),
-    ).withColumn("vague", ~F.col("verbatim") & (F.size(F.filter("slots", lambda s: ~s)) < WINDOW // 2))
-    clear = rows.groupBy("item_id").agg(F.min(F.when(~F.col("verbatim"), F.col("vague"))).alias("all_vague"))
-    return rows.join(clear, rows.item_id.eqNullSafe(clear.item_id)).where(f"not vague or all_vague and item_words >= {WINDOW}").drop(clear.item_id).drop("vague", "verbatim", "all_vague").dropDuplicates(["window", "item_id", "at"])
+    rows = items.select("item", n.alias("item_words"), "names", "size", F.posexplode("windows").alias("pos", "window"))
+    rows = rows.withColumn("at", F.col("pos") % F.col("size")).withColumn("verbatim", F.col("pos") >= F.col("size"))
+    clear = F.size(F.filter(F.slice("names", F.col("at") + 1, WINDOW), lambda x: x >= 0))
+    vague = ~F.col("verbatim") & (clear < WINDOW // 2) & (clear < F.least(F.lit(WINDOW), F.col("item_words")))
+    rows = rows.withColumn("vague", vague).where("window is not null")
+    all_vague = rows.groupBy("item").agg(F.min(F.when(~F.col("verbatim"), F.col("vague"))).alias("all_vague"))
+    rows = rows.join(all_vague, "item").where(f"not vague or all_vague and item_words >= {WINDOW}")
+    return rows.select("window", "item", "item_words", "at").dropDuplicates(["window", "item", "at"])
 
 
 def covered(places: Column) -> Column:
@@ -138,21 +147,32 @@ def consistent(runs: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, item_id, n_windows, n_words (of the longest match), share (of the item), reparameterised, for each leaked pair."""
-    items = item_windows(benchmark).where("window is not null")
-    lengths = [r[0] for r in items.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
-    if items.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    texts = with_windows(with_words(docs.select("doc_id", row_id().alias("rid"), "text")))
-    places = texts.select("doc_id", "rid", "words", "size", F.posexplode_outer("windows").alias("pos", "window"))
+    items = cut(benchmark_items(benchmark))
+    windows = cut(item_windows(items))
+    lengths = [r[0] for r in windows.where(F.col("item_words") < WINDOW).select("item_words").distinct().collect()]
+    few = windows.count() <= BROADCAST_ROWS
+    small = F.broadcast if few else lambda df: df
+    texts = docs.select("doc_id", row_id().alias("rid"), "text")
+    windowed = with_windows(with_words(texts))
+    places = windowed.select("doc_id", "rid", "size", F.posexplode_outer("windows").alias("pos", "window"))
     for n in lengths:
-        places = places.union(texts.select("doc_id", "rid", "words", F.greatest(F.size("words") - n + 1, F.lit(0)).alias("size"), F.posexplode_outer(short_windows(n)).alias("pos", "window")))
-    places = places.withColumn("place", F.col("pos") % F.col("size")).drop("pos", "size")
-    met = places.join(items, "window").select(
-        "rid", "doc_id", "item_id", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"),
-        F.filter(F.transform(F.arrays_zip("item_slice", F.slice("words", F.col("place") + 1, WINDOW).alias("doc_slice"), "slots"), lambda x, i: F.struct((F.col("at") + i).alias("p"), x["item_slice"].alias("a"), x["doc_slice"].alias("b"), x["slots"].alias("slot"))), lambda x: x["slot"]).alias("pairs"),
-    )
-    runs = met.groupBy("rid", "doc_id", "item_id", "item_words", "diagonal").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    runs = consistent(runs).where(F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words")))
+        places = places.union(windowed.select("doc_id", "rid", F.greatest(F.size("words") - n + 1, F.lit(0)).alias("size"), F.posexplode_outer(short_windows(n)).alias("pos", "window")))
+    places = places.select("doc_id", "rid", "window", (F.col("pos") % F.col("size")).alias("place"))
+    met = places.join(small(windows), "window").select("rid", "doc_id", "item", "item_words", "at", (F.col("place") - F.col("at")).alias("diagonal"))
+    # a diagonal whose windows cover too little is none, whatever its slots hold
+    runs = met.groupBy("rid", "doc_id", "item", "item_words", "diagonal").agg(F.collect_set("at").alias("places")).withColumn("width", F.least(F.lit(WINDOW), F.col("item_words")))
+    enough = F.least(F.lit(min_words), F.col("item_words"))
+    runs = cut(runs.where(F.size(covered(F.col("places"))) >= enough))
+    # the words of the documents and items of the diagonals left, each once, to see what stands in the slots
+    met_texts = texts.join(runs.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+    words = cut(with_words(met_texts.select("rid", "text")).select("rid", F.col("words").alias("of_doc")))
+    of_item = items.select("item", "item_id", F.col("words").alias("of_item"), "names")
+    runs = runs.join(small(of_item), "item").join(words, "rid")
+    slots = F.filter(covered(F.col("places")), lambda p: F.get("names", p) < 0)
+    pairs = F.transform(slots, lambda p: F.struct(p.alias("p"), F.get("of_item", p).alias("a"), F.get("of_doc", p + F.col("diagonal")).alias("b")))
+    # written, as Spark would put the pairs into each of the many expressions that use them
+    runs = cut(runs.select("rid", "doc_id", "item_id", "item_words", "places", pairs.alias("pairs")))
+    runs = consistent(runs).where(F.col("n_words") >= enough)
     other = F.exists("pairs", lambda x: x["a"] != x["b"])
     best = runs.groupBy("rid", "doc_id", "item_id").agg(F.max(F.struct("n_words", "n_windows", F.round(F.col("n_words") / F.col("item_words"), 4).alias("share"), other.alias("other"))).alias("best"))
     return best.select("rid", "doc_id", "item_id", F.col("best.n_windows").cast("long").alias("n_windows"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.share").alias("share"), F.col("best.other").alias("reparameterised"))

@@ -3,6 +3,8 @@
 import random
 import re
 import zlib
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -44,6 +46,31 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), langid.train(docs.limit(0))).count() == 0
 
 
+def test_language_with_ids_as_texts(spark):
+    docs = table(spark, "documents").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert langid.predict(docs, langid.train(docs, 200)).where("lang_pred = 'und'").count() < docs.count() / 10
+
+
+def test_language_scores_are_the_plain_ones(spark):
+    """Averages of embeddings, subword by subword, and a softmax of their products with the weights."""
+    rng = np.random.default_rng(3)
+    model = langid.Model(["de", "en", "fr"], rng.normal(size=(langid.BUCKETS, langid.DIMENSIONS)), rng.normal(size=(langid.DIMENSIONS, 3)), rng.normal(size=3), 0.7, 0.5)
+    texts = [t for t in TEXTS if t is None or len(t) < 3_000]
+    got = {r["doc_id"]: r for r in langid.predict(brute.frame(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        low, hidden, n = brute.ascii_lower(text).encode(), np.zeros(langid.DIMENSIONS), 0
+        for k, factor in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for at in range(len(low) - k + 1):
+                hidden += model.embeddings[((int.from_bytes(low[at : at + k], "big") * factor) >> 12) % langid.BUCKETS]
+                n += 1
+        logits = (hidden / max(n, 1) @ model.weights + model.bias) / model.temperature
+        p = np.exp(logits) / np.exp(logits).sum()
+        letters = any(c.isalpha() for c in text or "")
+        assert got[i]["lang_pred"] == (model.languages[int(p.argmax())] if letters else "und")
+        assert abs(got[i]["score"] - (p.max() if letters else 0)) < 1e-9
+        assert got[i]["rejected"] == (not letters or p.max() < model.accept)
+
+
 def test_quality_on_the_held_out_fold(spark):
     docs, labels = table(spark, "documents"), table(spark, "labels")
     out = quality.classify(docs, quality.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
@@ -60,23 +87,95 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), quality.train(docs, none)).count() == 0
 
 
+def test_quality_scores_are_the_plain_ones(spark):
+    """Each tree is walked by itself, and statistics are counted text by text."""
+    rng = np.random.default_rng(4)
+    nodes = 2**4 - 1
+    model = quality.Trees(rng.integers(0, len(quality.STATISTICS), (9, nodes)), rng.random((9, nodes)) * 2, rng.normal(size=(9, nodes)), 0.2, 3)
+    got = {r["row"]["doc_id"]: r["score"] for r in quality.score(brute.frame(spark, TEXTS), model, ["doc_id"]).collect()}
+    for i, text in enumerate(TEXTS):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        x = quality.statistics(data, np.array([0, len(data)]))[0]
+        total = model.start
+        for t in range(9):
+            node = 0
+            for _ in range(model.depth):
+                node = 2 * node + 1 + int(x[model.feature[t, node]] > model.edge[t, node])
+            total += model.value[t, node]
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-12
+        held, words, lines_of = dict(zip(quality.STATISTICS, x, strict=True)), brute.spaced(text), (text or "").split("\n")
+        assert abs(held["log_bytes"] - np.log1p(len(data))) < 1e-12 and abs(held["log_words"] - np.log1p(len(words))) < 1e-12
+        assert abs(held["distinct_words"] - len(set(words)) / max(len(words), 1)) < 1e-12
+        assert abs(held["top_word"] - max(Counter(words).values(), default=0) / max(len(words), 1)) < 1e-12
+        assert abs(held["word_bytes"] - sum(len(w.encode()) for w in words) / max(len(words), 1)) < 1e-9
+        assert abs(held["log_lines"] - np.log1p(len(lines_of))) < 1e-12
+        counts = Counter(data.tolist())
+        assert abs(held["entropy"] + sum(n / len(data) * np.log2(n / len(data)) for n in counts.values())) < 1e-9
+
+
+def license_words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+
+
+def standing(words, phrase):
+    p = phrase.encode().split()
+    return [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
+
+
+def notices(words):
+    """(label, first, last, share) of all notices, vote by vote."""
+    out = []
+    for label, text in licenses.TEXTS:
+        template, k = text.encode().split(), licenses.NOTICE_GRAM
+        votes = {}
+        for place in range(len(words) - k + 1):
+            for at in range(len(template) - k + 1):
+                if words[place : place + k] == template[at : at + k]:
+                    votes.setdefault(place - at, []).append((place, at))
+        groups = []
+        for d in sorted(votes):
+            if groups and d - groups[-1][0] <= licenses.GAP:
+                groups[-1] = (d, groups[-1][1] + votes[d])
+            else:
+                groups.append((d, votes[d]))
+        for _, held in groups:
+            covered, last = set(), -k
+            for _, at in sorted(held):
+                if at > last:
+                    covered |= set(range(at, at + k))
+                    last = at
+            first, end = min(p for p, _ in held), max(p for p, _ in held) + k - 1
+            share = len(covered) / len(template)
+            if share >= licenses.NOTICE_SHARE and end - first + 1 <= licenses.LONGEST * len(template):
+                out.append((label, first, end, share))
+    return sorted(out)
+
+
 def test_licenses(spark):
-    texts = [*TEXTS, "The MIT License. cc by, CC-BY; gnu GENERAL public license", "apache\nlicense apache license", "Softwäre MIT License " * 3, " ".join(["start", licenses.NOTICES["mit"], "end"])]
+    rng = random.Random(8)
+    texts = [*TEXTS[:-1], "The MIT License. cc by, CC-BY; gnu GENERAL public license", "apache\nlicense apache license", "Softwäre MIT License " * 3]
+    for _, text in licenses.TEXTS:
+        words = text.split()
+        cut_off = words[: rng.randrange(5, len(words))]
+        edited = [w for w in words if rng.random() > 0.04]
+        for _ in range(3):
+            edited.insert(rng.randrange(len(edited)), "word")
+        shuffled = [words[i : i + 6] for i in range(0, len(words), 6)]
+        rng.shuffle(shuffled)
+        texts += [f"start {' '.join(words).title()} end", " ".join(cut_off), " ".join(edited), " ".join(sum(shuffled, [])), " ".join(["x", *words, *words])]
     ids = [None, *range(1, len(texts))]
     got = {r["doc_id"]: r for r in licenses.scan(brute.frame(spark, texts, ids)).collect()}
     assert len(got) == len(texts)
     for i, t in zip(ids, texts, strict=True):
-        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
-        places, labels = [], set()
-        for phrase, label in licenses.BASE.items():
-            p = phrase.encode().split()
-            at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
-            places += at
-            labels |= {label} if at else set()
-        r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
-        assert labels <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
-    assert got[ids[-1]]["labels"] == "mit" and got[ids[-1]]["score"] == 1.0
+        words, r = license_words(t), got[i]
+        places = sorted(k for phrase in licenses.BASE for k in standing(words, phrase))
+        base = {label for phrase, label in licenses.BASE.items() if standing(words, phrase)}
+        more = base | {label for phrase, label in licenses.PHRASES.items() if standing(words, phrase)}
+        spans = notices(words)
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)))
+        assert [tuple(x) for x in r["spans"]] == spans
+        assert r["labels"] == ",".join(sorted(more | {x[0] for x in spans}))
+        assert r["score"] == (1.0 if more else max((x[3] for x in spans), default=0.0))
     assert licenses.scan(brute.frame(spark, ["mit license"] * 2, [1, 1])).count() == 2
     assert licenses.scan(brute.frame(spark, TEXTS).limit(0)).count() == 0
 
@@ -99,23 +198,91 @@ def test_packing_is_whole(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_bin_completion():
-    rng = random.Random(4)
-    for _ in range(20):
-        sizes = [rng.randint(20, 60) for _ in range(rng.randint(1, 40))]
-        bins = packing.complete(sizes, 100)
-        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-        assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
-        assert len(bins) <= len(packing.best_fit(sizes, 100))
-    assert len(packing.complete([6, 5, 5, 4, 4, 3, 3], 10)) == 3
-    assert packing.complete([], 10) == []
+def fewest(sizes, length):
+    """The least number of bins, by trying all."""
+
+    @cache
+    def bins(left):
+        if not left:
+            return 0
+        best = len(left)
+
+        def fill(rest, k, room):
+            nonlocal best
+            best = min(best, 1 + bins(rest))
+            for i in range(k, len(rest)):
+                if rest[i] <= room and (i == k or rest[i] != rest[i - 1]):
+                    fill(rest[:i] + rest[i + 1 :], i, room - rest[i])
+
+        fill(left[1:], 0, length - left[0])
+        return best
+
+    return bins(tuple(sorted(sizes, reverse=True)))
+
+
+def plain_best_fit(sizes, length):
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fits = [room for room in bins if room >= size]
+        if fits:
+            bins.remove(min(fits))
+        bins.append((min(fits) if fits else length) - size)
+    return len(bins)
+
+
+def held(kinds, length):
+    """How many pieces of each size the sequences hold; all of them have room for theirs."""
+    out = Counter()
+    for n, kind in kinds:
+        assert n > 0 and sum(size * k for size, k in kind.items()) <= length
+        out.update({size: n * k for size, k in kind.items()})
+    return out
+
+
+def test_bin_completion_needs_no_more_than_the_fewest():
+    rng, improved = random.Random(4), 0
+    for _ in range(300):
+        length = rng.choice([10, 30, 100])
+        sizes = [rng.randint(1, length) if rng.random() < 0.5 else rng.randint(length // 5 + 1, length // 2) for _ in range(rng.randint(1, 11))]
+        counts = Counter(sizes)
+        kinds, first, least = packing.complete(counts, length), packing.best_fit(counts, length), fewest(sizes, length)
+        assert held(kinds, length) == held(first, length) == counts
+        assert sum(n for n, _ in first) == plain_best_fit(sizes, length)
+        assert sum(n for n, _ in kinds) == least >= packing.lower_bound(counts, length)
+        improved += sum(n for n, _ in first) > least
+    assert improved
+    assert packing.complete({}, 10) == []
+    many = {700: 10**9, 300: 10**9 + 3, 1000: 5}
+    assert held(packing.complete(many, 1_000), 1_000) == many and sum(n for n, _ in packing.complete(many, 1_000)) == 10**9 + 6
+
+
+def test_places_are_distinct_and_gapless():
+    counts = {700: 3, 300: 4, 150: 9, 1: 50}
+    places = packing.Places(packing.complete(counts, 1_000))
+    taken = {}
+    for size, n in counts.items():
+        for sequence, offset in zip(*places.of(np.full(n, size), np.arange(n)), strict=True):
+            taken.setdefault(int(sequence), []).append((int(offset), size))
+    for parts in taken.values():
+        at = 0
+        for offset, size in sorted(parts):
+            assert offset == at
+            at += size
+        assert at <= 1_000
+
+
+def test_tokens_by_word_are_those_of_the_whole_text():
+    tokens = packing.Tokens(packing.default_tokenizer())
+    texts = [t or "" for t in TEXTS] + ["a<|endoftext|>b <|startoftext|> c", "<|endoftext|>", "<|endoftext|> x", "ΑΣ ΣΑΣ \u00a0x\u0301 y", "it's\tI'LL 12.5%"]
+    assert tokens.by_word
+    assert tokens.ids([t.encode() for t in texts]) == [tokens._encode(t) for t in texts]
 
 
 def test_neighbours(spark):
     vectors = table(spark, "embeddings").select("vec_id", "embedding").toPandas()
     held = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.itertuples()}
     same = held[50].tolist()
-    extra = [(1000 + i, same, 0) for i in range(60)] + [(2000, None, 0), (2001, [0.0] * 64, 0), (2002, [float("nan")] * 64, 0), (2050, [None, *same[1:]], 0), (None, same, 0), (2100, [1.0, 2.0], 0)]
+    extra = [(1000 + i, same, 0) for i in range(60)] + [(2000, None, 0), (2001, [0.0] * 64, 0), (2002, [float("nan")] * 64, 0), (2050, [None, *same[1:]], 0), (None, same, 0), (2101, [1.0, 2.0], 0)]
     held |= {i: np.array(same) for i, _, _ in extra[:60]}
     rows = [(k, v.tolist(), 0) for k, v in held.items() if k < 1000] + extra + extra[:1]
     out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).toPandas()
@@ -137,6 +304,23 @@ def test_neighbours(spark):
     assert ann.search(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_odd_vectors(spark):
+    """Components that overflow or vanish when squared, vectors of other dimensions, ties, both zeros, and clashing columns."""
+    vectors = {
+        0: [1e200, 1e200, 0.0, 0.0], 1: [1.0, 1.0, 0.0, 0.0], 2: [1e-200, 1e-200, -0.0, 0.0], 3: [0.0, 1.0, 0.0, 0.0], 4: [-1.0, -1.0, 0.0, 0.0],
+        50: [1.0, 2.0], 51: [2.0, 4.0], 52: [2.0, 1.0], 100: [1.0, 1.0, -0.0, 0.0],
+    }
+    rows = spark.createDataFrame([(k, v, 1, 2, 3, 4) for k, v in vectors.items()], "vec_id long, embedding array<double>, h int, cell int, block int, vector int")
+    got = {}
+    for r in ann.search(rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 12)))
+    half = round(0.5**0.5, 12)
+    # equal directions may differ in the last bit of their scores
+    assert {x[1:] for x in got[0][:3]} == {(1, 1.0), (2, 1.0), (100, 1.0)} and [x[1:] for x in got[0][3:]] == [(3, half), (4, -1.0)]
+    assert got[50] == [(1, 51, 1.0), (2, 52, 0.8)]
+    assert [x[0] for x in got[100]] == [1, 2, 3, 4, 5] and {x[1] for x in got[100][:3]} == {0, 1, 2}
+
+
 ITEM = "What is the sum of 12 apples and 7 pears that Peter bought for 30 eur in the market of Berlin last week"
 
 
@@ -163,6 +347,44 @@ def test_leaks_are_the_documents_that_contain_items(spark):
     assert want <= got and len(got) <= len(want) + 2
 
 
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_ROWS, 0])
+def test_leaks_are_those_of_the_plain_matcher(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(12)
+    common = [f"{a}{b}" for a in "bdfgl" for b in ("a", "o", "ir")] + ["kg", "cm"]
+    number, name = lambda: str(rng.randrange(6)), lambda: rng.choice(["Anna", "Otto", "Ödön", "Γιώργος"])
+    word = lambda: rng.choices([rng.choice(common), number(), name()], [7, 2, 1])[0]
+    items = [[word() for _ in range(n)] for n in (1, 2, 3, 3, 5, 7, 8, 9, 12, 14, 20, 30, 40)] + [["1", "2", "3", "Anna"] * 4, ["fa", "lo", "ga"]]
+    texts = ["", None, "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    for item in items * 5:
+        to = {w: number() if w.isdigit() else name() if w[0].isupper() else w for w in item}
+        copy = [to[w] if rng.random() < 0.9 else word() for w in item] if rng.random() < 0.7 else list(item)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(len(copy))] = word()
+        text = " ".join([word() for _ in range(rng.randrange(4))] + copy + [word() for _ in range(rng.randrange(4))])
+        texts.append(text.upper() if rng.random() < 0.2 else text)
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()}
+    want = {(d, i): brute.leaked_words(" ".join(x), t, decontaminate.UNITS) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_leaks_in_very_long_texts_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    benchmark = spark.createDataFrame([(1, ITEM, 0), (1, "who wrote the old green book", 0)], "item_id long, text string, rid int").withColumn("doc_id", F.lit(1))
+    texts = [" ".join(f"w{i % 977}" for i in range(300_000)) + " " + ITEM, "la " * 200_000, "la who wrote the old green book"]
+    got = {(r["doc_id"], r["item_id"], r["n_words"]) for r in decontaminate.leaks(brute.frame(spark, texts), benchmark).collect()}
+    assert got == {(0, 1, 23), (2, 1, 6)}
+
+
+def test_leaks_with_names_in_other_alphabets(spark):
+    item = "πόσα μήλα έχει ο Γιώργος όταν η Μαρία του δίνει 5 ακόμη και το βράδυ τρώει 2 από αυτά"
+    other = item.replace("Γιώργος", "Νίκος").replace("Μαρία", "Ελένη").replace("5", "7")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["reparameterised"] for r in decontaminate.leaks(brute.frame(spark, [item, other, item.replace("μήλα", "x").replace("ακόμη", "y")]), benchmark).collect()}
+    assert got == {0: False, 1: True}
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = table(spark, "documents").withColumn("score", F.lit(1)).withColumn("row", F.lit("x"))
     for name, stage in corpus_pipeline.STAGES:
