@@ -1,17 +1,22 @@
 """Best-fit packing of tokenized documents into sequences of fixed length, by bin completion with branch and bound.
 
 Documents are tokenized in Spark tasks (ids by the tokenizer, without special tokens, then the end id) and cut where they are longer than
-a sequence. Only the pieces' lengths travel on. Pieces are dealt at random into parts of about PART_SEQUENCES sequences each, so that no
-task holds more than a part whatever the input, and each part is packed by itself: best fit gives a first solution; where that is above
-the bound by tokens, branch and bound takes the largest piece left, lists the undominated ways to fill its sequence, fullest first, and
-gives up branches that waste more than a better solution may. Sequences that are left with room are taken apart once and dealt again.
+a sequence. All that packing needs to know is how many pieces there are of each length: at most `length` numbers, whatever the input. So
+these are packed as they are, every kind of sequence once with the number of its repeats, and the pieces then look up their places by
+their number among those of their length. No part of the corpus is packed apart from the rest, and no task holds more than its batch.
 
-Nulls and edges: a null text is empty, an empty text has the end id alone; null ids are carried; repeated rows are packed one by one; an
-empty table gives an empty result; other columns are ignored.
+Best fit by decreasing length gives the first solution. Where it needs more sequences than the lower bound, bin completion takes the largest
+piece left, lists the undominated ways to fill its sequence, fullest first, puts each to use as often as there are pieces for it, or less
+often, and gives up branches that waste more than a better solution may, or that have led to the same pieces left before. The search ends
+when the bound is met, when all branches have been seen (then no fewer sequences are possible), or after STEPS steps.
+
+Nulls and edges: a null text is empty, an empty text has the end id alone; null ids are carried; repeated rows are packed one by one; very
+long texts become many pieces; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -20,10 +25,10 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.llm import arrays as A
@@ -31,19 +36,16 @@ from kvlake.llm.store import cut
 
 LENGTH = 4_096
 END_ID = 1
-#: Sequences that are packed by one task at a time.
-PART_SEQUENCES = 400
-#: Sequences at least this full are not taken apart again.
-FULL = 0.995
-#: Branches that are looked at in a part beyond the first solution.
-BRANCHES = 2_000
-#: Ways to fill one sequence that are looked at.
-FILLINGS = 24
+#: Steps after which the search for fewer sequences ends: its time is bounded, and the best solution so far stays.
+STEPS = 20_000
 #: Units that are encoded as one text.
 LOT = 50
 #: Words, and units of words, whose ids a worker remembers: beyond that it begins anew.
 WORDS, UNITS = 900_000, 900_000
 
+#: number of sequences, and how many pieces of each length one of them holds
+Kind = tuple[int, dict[int, int]]
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -52,15 +54,16 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    """The ids of texts, by a tokenizer that treats what stands between white space independently; ids of words are remembered.
+    """The ids of texts; those of words (bytes between ASCII white space) are remembered, if the tokenizer treats words independently.
 
-    A word (bytes between ASCII white space) of plain letters, digits and marks falls into the tokenizer's own units, which are encoded
-    many at a time; any other word is encoded as it is.
+    How words fall into units is read from the tokenizer's file: composed, lower-case words are split by its pattern, and the ids of a unit end
+    with the one that has the suffix for ends of words. New units are encoded many at a time. Words with characters beyond Latin, whose
+    composing and lower case are the tokenizer's own affair, and words that hold a special token are encoded as they are. A file with other
+    parts is not read so, and whether the reading gives the ids of whole texts is tried with PROBE; if not, texts are encoded whole.
     """
 
-    # The units into which the tokenizer splits normalised words.
-    UNITS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+")
-    #: What makes a word be encoded as it is: any but plain letters, digits and marks, and the beginning of a special token.
+    PROBE = "It's 12.5% of  naïve Ünï\tcode:\n'tis x_y -- don't A.B, (c) 日本 é <b>I'LL</b>  #tag\r\n ... '' 's ré a\u0301 \u0301x ΑΣ <|x|>"
+    #: What makes a word be encoded as it is: any but printable ASCII and Latin letters, and the beginning of a special token.
     ODD = re.compile(r"[^\n!-~À-ÖØ-öø-ɏ]|<\|")
     #: Stands between words; no id has these bytes at any offset, as ids are below 2**24.
     BREAK = b"\xff" * 8
@@ -69,64 +72,83 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.units: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        pattern, suffix = self._parts(held), held["model"].get("end_of_word_suffix")
+        self.by_word = False
+        if pattern and suffix:
+            self.split = regex.compile(r"\n|" + pattern)
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            self.by_word = self._by_word([self.PROBE.encode()]) == [self._encode(self.PROBE)]
+
+    @staticmethod
+    def _parts(held: dict) -> str | None:
+        """The pattern of units, if the file composes, puts blanks for white space, lowers, and keeps what a pattern finds."""
+        steps = (held.get("normalizer") or {}).get("normalizers", [])
+        splits = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        special = all(t["content"].startswith("<|") and t["special"] for t in held.get("added_tokens", []))
+        if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"].get("Regex") != r"\s+" or steps[1]["content"] != " " or not special:
+            return None
+        if [x["type"] for x in splits] != ["Split", "ByteLevel"] or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or splits[1]["add_prefix_space"]:
+            return None
+        return splits[0]["pattern"].get("Regex")
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_units(self, units: list[str]) -> None:
         lots = [units[i : i + LOT] for i in range(0, len(units), LOT)]
         for some, encoded in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some) and (not len(ids) or last[-1] == len(ids)):
+            if len(last) == len(some) and last[-1] == len(ids):
                 held, first = ids.tobytes(), 0
                 for unit, end in zip(some, (last * 4).tolist(), strict=True):
                     self.units[unit] = held[first:end]
                     first = end
             else:
-                for unit in some:
-                    self.units[unit] = self._encode(unit).tobytes()
+                self.units.update((unit, self._encode(unit)) for unit in some)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.units) > UNITS:
-            self.units.clear()
-        new = [w for w in words if w not in self.words]
-        held = b"\n".join(new).decode()
-        if not held.isascii() and not unicodedata.is_normalized("NFC", held):
-            held = unicodedata.normalize("NFC", held)
-        if self.ODD.search(held):
+        for held, most in ((self.words, WORDS), (self.units, UNITS)):
+            if len(held) > most:
+                held.clear()
+        new = list(words.difference(self.words))
+        text = b"\n".join(new).decode()
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        if self.ODD.search(text):
             odd = {w for w in new if self.ODD.search(unicodedata.normalize("NFC", w.decode()))}
-            for word in odd:
-                self.words[word] = self._encode(word.decode()).tobytes()
+            self.words.update((w, self._encode(w.decode())) for w in odd)
             new = [w for w in new if w not in odd]
-            held = unicodedata.normalize("NFC", b"\n".join(new).decode())
+            text = unicodedata.normalize("NFC", b"\n".join(new).decode())
         if not new:
             return
-        units = self.UNITS.findall(held.lower())
+        units = self.split.findall(text.lower())
         self.units["\n"] = self.BREAK
-        self._learn_units([u for u in set(units) if u not in self.units])
-        self.words.update(zip(new, b"".join([self.units[u] for u in units]).split(self.BREAK), strict=True))
+        self._learn_units(list(set(units).difference(self.units)))
+        self.words.update(zip(new, b"".join(map(self.units.__getitem__, units)).split(self.BREAK), strict=True))
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
         split = [text.split() for text in texts]
         self.learn(set().union(*split))
-        held = self.words
-        return [b"".join([held[w] for w in words]) for words in split]
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) for words in split]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        return self._by_word(texts) if self.by_word else [self._encode(text.decode()) for text in texts]
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, deal (a number to deal pieces by) for every row of docs, without a shuffle."""
+    """doc_id, piece, start, length, ids_crc32, task, nth (a piece's number among those of its length in its task) for every row of docs, without a shuffle."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
         path = tokenizer or default_tokenizer()
         if path not in _TOKENS:
             _TOKENS[path] = Tokens(path)
-        tokens, task, dealt = _TOKENS[path], TaskContext.get().partitionId(), 0
+        tokens, task, seen = _TOKENS[path], TaskContext.get().partitionId(), np.zeros(length + 1, dtype=np.int64)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for i, j, data, bounds in A.texts(batch["text"]):
@@ -149,148 +171,178 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
                         start.append(at // 4)
                         size.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                ids = batch["doc_id"].slice(i, j - i).take(pa.array(row, pa.int64()))
-                deal = A.mix(np.arange(dealt, dealt + len(row), dtype=np.uint64) + np.uint64((task + 1) << 32)) >> np.uint64(1)
-                dealt += len(row)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal.astype(np.int64))], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, deal long")
-
-
-def best_fit(sizes: list[int], length: int) -> list[list[int]]:
-    """Best fit by decreasing size: each item to the fullest bin that has room. Bins as lists of item numbers."""
-    bins: list[list[int]] = []
-    room: list[tuple[int, int]] = []
-    for item in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        at = bisect_left(room, (sizes[item], -1))
-        if at == len(room):
-            bins.append([item])
-            left, number = length - sizes[item], len(bins) - 1
-        else:
-            left, number = room.pop(at)
-            bins[number].append(item)
-            left -= sizes[item]
-        insort(room, (left, number))
-    return bins
-
-
-def fillings(counts: dict[int, int], largest: int, length: int, most: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated ways (sizes besides the largest) to fill its bin, fullest first.
-
-    A way is dominated if an item left out fits in its room, or fits in place of a smaller one of its items.
+                sizes = np.array(size, dtype=np.int64)
+                by = np.argsort(sizes, kind="stable")
+                of = sizes[by]
+                nth = np.empty(len(of), dtype=np.int64)
+                nth[by] = seen[of] + np.arange(len(of)) - np.searchsorted(of, of)
+                seen += np.bincount(sizes, minlength=length + 1)
+                ids_of = batch["doc_id"].slice(i, j - i).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array([task] * len(row), pa.int32()), pa.array(nth)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, nth long")
+
+
+def lower_bound(counts: dict[int, int], length: int) -> int:
+    """The least number of sequences that any packing can do with: pieces too large to share a sequence, and what the others need beside their room."""
+    best = -(-sum(s * n for s, n in counts.items()) // length)
+    for least in [0, *(s for s in counts if 2 * s <= length)]:
+        alone = sum(n for s, n in counts.items() if s > length - least)
+        half = [(s, n) for s, n in counts.items() if length < 2 * s <= 2 * (length - least)]
+        small = sum(s * n for s, n in counts.items() if least <= s and 2 * s <= length)
+        room = sum((length - s) * n for s, n in half)
+        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(small - room) // length)))
+    return best
+
+
+def best_fit(counts: dict[int, int], length: int) -> list[Kind]:
+    """Best fit by decreasing size, each piece to the fullest sequence that has room: equal sequences are filled as one."""
+    done: list[Kind] = []
+    kinds: list[Kind] = []
+    open_: list[tuple[int, int]] = []  # room and number of a kind
+
+    def put(n: int, held: dict[int, int], room: int) -> None:
+        if n:
+            kinds.append((n, held))
+            insort(open_, (room, len(kinds) - 1)) if room else done.append(kinds[-1])
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            at = bisect_left(open_, (size, -1))
+            room, number = open_.pop(at) if at < len(open_) else (length, -1)
+            n, held = kinds[number] if number >= 0 else (left, {})
+            each = room // size
+            full = min(n, left // each)
+            put(full, {**held, size: each}, room - each * size)
+            left -= full * each
+            if full < n and left:
+                put(1, {**held, size: left}, room - left * size)
+                left, full = 0, full + 1
+            if number >= 0:
+                put(n - full, held, room)
+    return done + [kinds[k] for _, k in open_]
+
+
+def fillings(counts: dict[int, int], room: int, most_left: int, steps: list[int]) -> list[tuple[int, dict[int, int]]]:
+    """(room left, pieces of each size) of the undominated ways to fill a room that leave at most most_left, fullest first.
+
+    A way is dominated if a piece left out could take the place of some of its pieces that are together smaller, or of nothing.
     """
     sizes = sorted(counts, reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 40 * most or (found and len(found) >= most and found[0][0] == 0):
+    below = [0] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        below[k] = below[k + 1] + sizes[k] * counts[sizes[k]]
+    found: list[tuple[int, dict[int, int]]] = []
+
+    def dominated(left: int, chosen: dict[int, int]) -> bool:
+        sums = 1  # bit t: some of the chosen pieces have size t together
+        for s, n in chosen.items():
+            for _ in range(n):
+                sums |= sums << s
+        return any((sums >> max(x - left, 0)) & ((1 << min(left, x)) - 1) for x in sizes if chosen.get(x, 0) < counts[x])
+
+    def extend(k: int, left: int, chosen: dict[int, int]) -> None:
+        steps[0] -= 1
+        if steps[0] < 0 or left - below[k] > most_left:
             return
-        ended = True
-        for k in range(max(at, bisect_left(sizes, -room, key=lambda x: -x)), len(sizes)):
-            size = sizes[k]
-            if chosen.count(size) < counts[size]:
-                ended = False
-                extend(k, room - size, (*chosen, size))
-                if steps > 40 * most:
-                    break
-        if ended:
-            found.append((room, chosen))
-
-    extend(0, length - largest, ())
-
-    def dominated(room: int, chosen: tuple[int, ...]) -> bool:
-        for x in sizes:
-            if chosen.count(x) < counts[x]:
-                if x <= room or any(y < x <= y + room for y in chosen):
-                    return True
-        return False
-
-    kept = [f for f in sorted(set(found))[: 4 * most] if not dominated(*f)]
-    return [chosen for _, chosen in (kept or sorted(found)[:1])[:most]]
-
-
-def complete(sizes: list[int], length: int, branches: int = BRANCHES) -> list[list[int]]:
-    """Bins as lists of item numbers: best fit, improved by bin completion where the bound by total size leaves room for fewer bins."""
-    best = best_fit(sizes, length)
-    total = sum(sizes)
-    bound = -(-total // length)
-    if len(best) <= bound:
-        return best
-    by_size: dict[int, list[int]] = {}
-    for i, s in enumerate(sizes):
-        by_size.setdefault(s, []).append(i)
-    looked = 0
-
-    def dive(counts: dict[int, int], bins: list[tuple[int, ...]], waste: int) -> list[tuple[int, ...]] | None:
-        """Bins by size, fewer than best has; None if there are none or the branches are used up."""
-        stack = [(counts, bins, waste)]
-        nonlocal looked
-        while stack:
-            counts, bins, waste = stack.pop()
-            looked += 1
-            if looked > branches:
-                return None
-            if not counts:
-                return bins
-            if waste > (len(best) - 1) * length - total:
+        k = max(k, bisect_left(sizes, -left, key=lambda s: -s))
+        if k == len(sizes) or not left:
+            if left <= most_left and not dominated(left, chosen):
+                found.append((left, chosen))
+            return
+        size = sizes[k]
+        for n in range(min(counts[size], left // size), -1, -1):
+            extend(k + 1, left - n * size, {**chosen, size: n} if n else chosen)
+
+    extend(0, room, {})
+    return sorted(found, key=lambda f: f[0])
+
+
+def complete(counts: dict[int, int], length: int, steps: int = STEPS) -> list[Kind]:
+    """Kinds of sequences that hold all pieces: best fit, improved by bin completion where the lower bound leaves room for fewer sequences."""
+    best = best_fit(counts, length)
+    total, bound, budget = sum(s * n for s, n in counts.items()), lower_bound(counts, length), [steps]
+
+    def fewer(target: int) -> list[Kind] | None:
+        """A packing into `target` sequences, if the search meets one."""
+        allowed = target * length - total
+        seen: dict[tuple, int] = {}
+        stack: list[tuple[dict[int, int], int, tuple]] = [(dict(counts), 0, ())]
+        while stack and budget[0] > 0:
+            left, waste, made = stack.pop()
+            if not left:
+                kinds = []
+                while made:
+                    made, kind = made
+                    kinds.append(kind)
+                return kinds
+            key = tuple(sorted(left.items()))
+            if seen.get(key, allowed + 1) <= waste:
                 continue
-            largest = max(counts)
-            rest = dict(counts)
-            rest[largest] -= 1
-            if not rest[largest]:
-                del rest[largest]
-            options = fillings(rest, largest, length)
-            for chosen in reversed(options[:4]):
-                after = dict(rest)
-                for s in chosen:
-                    after[s] -= 1
-                    if not after[s]:
-                        del after[s]
-                stack.append((after, [*bins, (largest, *chosen)], waste + length - largest - sum(chosen)))
+            seen[key] = waste
+            largest = max(left)
+            rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
+            branches = []
+            for room, chosen in fillings(rest, length - largest, allowed - waste, budget):
+                held = {**chosen, largest: chosen.get(largest, 0) + 1}
+                most = min(left[s] // n for s, n in held.items())
+                for times in range(most, 0, -1):
+                    budget[0] -= 1
+                    if budget[0] < 0:
+                        break
+                    if waste + times * room <= allowed:
+                        after = {s: m for s, n in left.items() if (m := n - times * held.get(s, 0))}
+                        branches.append((after, waste + times * room, (made, (times, held))))
+            stack += reversed(branches)
         return None
 
-    while len(best) > bound:
-        better = dive({s: len(v) for s, v in by_size.items()}, [], 0)
+    while (n := sum(k for k, _ in best)) > bound:
+        better = fewer(n - 1)
         if better is None:
             break
-        pool = {s: list(v) for s, v in by_size.items()}
-        best = [[pool[s].pop() for s in chosen] for chosen in better]
+        best = better
     return best
 
 
-def _pack_parts(items: DataFrame, n_parts: int, turn: int, length: int) -> DataFrame:
-    """items with sequence_id, offset and filled (tokens in the sequence), each part packed by itself."""
-    names = [f.name for f in items.schema.fields]
+class Places:
+    """Where the pieces of each length go, by their number among those of their length."""
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "deal", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        number, offset, filled = (np.zeros(len(part), dtype=np.int64) for _ in range(3))
-        sizes = part["length"].tolist()
-        for k, items_of in enumerate(complete(sizes, length)):
+    def __init__(self, kinds: list[Kind]):
+        rows, first, taken = [], 0, {}
+        for n, held in kinds:
             at = 0
-            for i in items_of:
-                number[i], offset[i] = k, at
-                at += sizes[i]
-            filled[items_of] = at
-        out = part[names].copy()
-        out["sequence_id"] = (np.int64(turn) << 60) + (part["part"].to_numpy(np.int64) << 24) + number
-        out["offset"], out["filled"] = offset, filled
-        return out
+            for size in sorted(held, reverse=True):
+                rows.append((size, taken.get(size, 0), held[size], first, at))
+                taken[size] = taken.get(size, 0) + n * held[size]
+                at += size * held[size]
+            first += n
+        table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+        self.key, self.since, self.each, self.first, self.at = (table[:, 0] << 40) + table[:, 1], *table[:, 1:].T
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", sequence_id long, offset long, filled long"
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(n_parts)))
-    return dealt.groupBy("part").applyInPandas(pack, schema)
+    def of(self, size: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and offset."""
+        k = np.searchsorted(self.key, (size << 40) + number, "right") - 1
+        n = number - self.since[k]
+        return self.first[k] + n // self.each[k], self.at[k] + n % self.each[k] * size
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row."""
     items = cut(pieces(docs, tokenizer, length, end_id))
-    parts = lambda df: max(1, -(-(df.agg(F.sum("length")).first()[0] or 0) // (length * PART_SEQUENCES)))
-    first = cut(_pack_parts(items, parts(items), 0, length))
-    closed, left = first.where(F.col("filled") >= FULL * length), first.where(F.col("filled") < FULL * length).drop("sequence_id", "offset", "filled")
-    second = _pack_parts(left, parts(left), 1, length)
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return closed.select(columns).union(second.select(columns))
+    places = Places(complete({r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}, length))
+    by_task = items.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = items.join(by_task.select("length", "task", before.alias("before")), ["length", "task"])
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequence, offset = places.of(batch["length"].to_numpy(), batch["number"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return numbered.select(*columns, (F.col("nth") + F.col("before")).alias("number")).mapInArrow(rows, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
