@@ -304,6 +304,24 @@ def test_neighbours(spark):
     assert ann.search(few.limit(0)).count() == 0
 
 
+def test_index_of_clustered_vectors_compares_few():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 20_000)] + 0.35 * rng.normal(size=(20_000, 64))
+    index, unit = ann.MultiIndex(x[: ann.SAMPLE_ROWS], len(x)), ann.MultiIndex.unit(x)
+    assert index.share < 0.2
+    cells = index.cells(unit)
+    held = dict(zip(*np.unique(cells, return_counts=True), strict=True))
+    a, b = index.halves(unit[::200])
+    hit = 0
+    for k, q in enumerate(range(0, len(x), 200)):
+        score = unit @ unit[q]
+        score[q] = -2
+        top = np.argsort(-score)[: ann.NEAREST]
+        hit += np.isin(cells[top], list(index.walk(a[k], b[k], held, index.share * len(x)))).sum()
+    assert hit >= 0.9 * ann.NEAREST * 100
+
+
 def test_neighbours_of_odd_vectors(spark):
     """Components that overflow or vanish when squared, vectors of other dimensions, ties, both zeros, and clashing columns."""
     vectors = {
