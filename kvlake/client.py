@@ -1,4 +1,8 @@
-"""A session handle: collects commands and runs them as one log. For scripts and tests; bulk work builds its DataFrames itself."""
+"""A session handle: collects commands and runs them as one log.
+
+A toy for scripts and tests: each lookup folds all commands so far, and any project is taken as granted. Bulk work builds its DataFrames
+itself and passes logins through operators/session.py.
+"""
 
 from __future__ import annotations
 
