@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvlake.functions import text
 from kvlake.functions.security import password_hash
 
 LOGIN_FIRST = "Please login first using LIN command"
 AUTH_FIRST = "Please authenticate first using AUTH command"
 
 
-def gate(commands: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame:
-    """commands with logged_in, project, status and message.
+def gate(commands: DataFrame, groups: DataFrame, tokens: DataFrame, new_token: Column | None = None) -> DataFrame:
+    """commands with logged_in, project, status, new_token and message.
 
     commands: seq, session, verb, arg, rest. groups: group, salt, access, accessibility. tokens: token. The list of grants is the one at
-    login; a token made in a session can't be chosen in it, since it isn't on that list.
+    login; a token made in a session can't be chosen in it, since it isn't on that list. new_token gives the tokens that AUTH CREATE makes,
+    at random where it isn't given; write the result before it is used twice, as each run makes others.
     """
     # of a group's grants, those that are tokens: small tables, so that the log itself is never dealt by its arguments
     usable = groups.select("group", F.explode("accessibility").alias("token")).join(tokens.select("token"), "token", "left_semi").groupBy("group").agg(F.collect_set("token").alias("usable"))
@@ -31,16 +33,19 @@ def gate(commands: DataFrame, groups: DataFrame, tokens: DataFrame) -> DataFrame
     before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("project", F.last(F.when(chosen, F.col("arg")), True).over(before))
     verb = F.col("verb")
+    short = F.col("arg").isNull()
     status = (
-        F.when(~F.col("logged_in") & (verb == "LIN"), F.when(F.col("seq") == F.col("login_seq"), "login").otherwise("login failed"))
+        F.when(~F.col("logged_in") & (verb == "LIN"), F.when(short | F.col("rest").isNull(), "usage").when(F.col("seq") == F.col("login_seq"), "login").otherwise("login failed"))
         .when(~F.col("logged_in"), "login first")
-        .when(verb == "AUTH", F.when(F.col("arg") == "CREATE", "created").when(chosen, "authenticated").when(~F.col("granted"), "denied").otherwise("invalid"))
+        .when(verb == "AUTH", F.when(short, "usage").when(F.upper("arg") == "CREATE", "created").when(chosen, "authenticated").when(~F.col("granted"), "denied").otherwise("invalid"))
         .when(F.col("project").isNull() & (verb != "EXIT"), "auth first")
         .otherwise("ready")
     )
-    rows = rows.withColumn("status", status)
+    made = F.sha2(F.concat(F.uuid(), F.uuid()), 512) if new_token is None else new_token
+    rows = rows.withColumn("status", status).withColumn("new_token", F.when(F.col("status") == "created", made))
     message = (
-        F.when(F.col("status") == "login first", LOGIN_FIRST).when(F.col("status") == "auth first", AUTH_FIRST)
+        F.when(F.col("status") == "usage", F.when(verb == "LIN", text.USAGE["LIN"]).otherwise(text.USAGE["AUTH"]))
+        .when(F.col("status") == "created", F.concat(F.lit("Project created! Token: "), "new_token")).when(F.col("status") == "login first", LOGIN_FIRST).when(F.col("status") == "auth first", AUTH_FIRST)
         .when(F.col("status") == "denied", F.concat(F.lit("Cannot auth with: "), F.coalesce("arg", F.lit(""))))
         .when(F.col("status") == "invalid", F.concat(F.lit("Invalid token: "), "arg")).when(F.col("status") == "authenticated", F.concat(F.lit("Authenticated to project: "), "arg"))
     )

@@ -323,6 +323,23 @@ def auth_denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir).where("status in ('denied', 'invalid')").select("seq", "message")
 
 
+@query(f"WITH {SESSIONS} SELECT c * 4 + 2 AS seq, sha256(CAST(c AS VARCHAR)) || sha256('x' || c) AS token, 'Project created! Token: ' || sha256(CAST(c AS VARCHAR)) || sha256('x' || c) AS message FROM auth WHERE ok AND asked = 'CREATE'")
+def auth_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projects that sessions make; here with tokens that follow from the session, so that they can be told in advance."""
+    token = F.concat(F.sha2("session", 256), F.sha2(F.concat(F.lit("x"), "session"), 256))
+    rows = session.gate(session_commands(spark, sf_dir), groups(spark, sf_dir), table(spark, sf_dir, "region").select(F.col("r_name").alias("token")), token)
+    return rows.where("status = 'created'").select("seq", F.col("new_token").alias("token"), "message")
+
+
+@query(f"WITH {SESSIONS}, said AS (SELECT c * 4 + 1 AS seq, '{text.USAGE["LIN"]}' AS message FROM auth WHERE c % 2 = 0 UNION ALL SELECT c * 4 + 2, CASE WHEN ok AND c % 2 = 1 THEN '{text.USAGE["AUTH"]}' ELSE '{session.LOGIN_FIRST}' END FROM auth) SELECT * FROM said")
+def session_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said to logins without a password (every second customer) and to AUTH without a token."""
+    rows = session_commands(spark, sf_dir).withColumn("rest", F.when((F.col("verb") == "LIN") & (F.col("session").cast("long") % 2 == 0), None).otherwise(F.col("rest")))
+    rows = rows.withColumn("arg", F.when(F.col("verb") == "AUTH", None).otherwise(F.col("arg")))
+    done = session.gate(rows, groups(spark, sf_dir), table(spark, sf_dir, "region").select(F.col("r_name").alias("token")))
+    return done.where((F.col("verb") == "AUTH") | (F.col("status") == "usage")).select("seq", "message")
+
+
 @query("SELECT r_name AS token FROM region UNION SELECT c_mktsegment FROM customer")
 def auth_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.create_tokens(table(spark, sf_dir, "region").select(F.col("r_name").alias("token")), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("token")))
