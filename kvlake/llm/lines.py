@@ -29,6 +29,7 @@ from kvlake.llm.store import cut
 #: A repeated run has to have as many characters to be deleted.
 MIN_CHARS = 50
 
+
 def row_id() -> F.Column:
     """A key of a row that is never null and is shared by rows of equal id and text alone."""
     return F.xxhash64("doc_id", "text")
@@ -38,13 +39,13 @@ def place() -> F.Column:
     return F.struct("doc_id", "rid", "line")
 
 
-def _intervals(suffixes: DataFrame, split: bool = False) -> DataFrame:
+def _intervals(suffixes: DataFrame) -> DataFrame:
     """The suffixes whose name occurs more than once, with the first place that has it.
 
-    split writes the first places before the join, so that it has an exchange on either side and Spark can split a very frequent name.
+    The first places are written before the join, so that it has an exchange on either side and Spark can split a very frequent name.
     """
     first = suffixes.groupBy("name").agg(F.count("*").alias("n"), F.min(place()).alias("first")).where("n > 1").drop("n")
-    return suffixes.join(cut(first) if split else first, "name")
+    return suffixes.join(cut(first), "name")
 
 
 def _with_runs(lines: DataFrame, min_chars: int) -> DataFrame:
@@ -64,7 +65,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines = docs.select("doc_id", row_id().alias("rid"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.select("doc_id", "rid", "line", F.xxhash64("content").alias("name"), F.length("content").alias("chars"))
     suffixes = _with_runs(lines.repartition("rid").dropDuplicates(["rid", "line"]), min_chars)
-    level = cut(_intervals(suffixes, split=True))
+    level = cut(_intervals(suffixes))
     marks = [level.where((place() > F.col("first")) & (F.col("ahead") == 1)).select("rid", F.col("line").alias("first"), (F.col("line") + 1).alias("last"))]
     runs = level.where("ahead > 1").select("doc_id", "rid", "line", F.col("ahead").alias("n"))
     runs = cut(runs.union(level.where("back > 1").select("doc_id", "rid", F.col("line") - F.col("back") + 1, "back")).distinct())
@@ -79,7 +80,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         head, tail = (level.select("rid", F.col("line").alias(at), F.col("name").alias(x)) for at, x in (("line", "head"), ("end", "tail")))
         here = runs.where(F.col("n").between(step, 2 * step - 1)).withColumn("end", F.col("line") + F.col("n") - step)
         named = here.join(head, ["rid", "line"]).join(tail, ["rid", "end"]).select("doc_id", "rid", "line", "n", F.xxhash64("n", "head", "tail").alias("name"))
-        again = _intervals(cut(named), split=True).where(place() > F.col("first"))
+        again = _intervals(cut(named)).where(place() > F.col("first"))
         marks.append(again.select("rid", F.col("line").alias("first"), (F.col("line") + F.col("n")).alias("last")))
     found = marks[0]
     for more in marks[1:]:
