@@ -40,8 +40,8 @@ END_ID = 1
 STEPS = 20_000
 #: Units that are encoded as one text.
 LOT = 50
-#: Words, and units of words, whose ids a worker remembers: beyond that it begins anew.
-WORDS, UNITS = 900_000, 900_000
+#: Words, and units of words, whose ids a worker remembers (about 200 bytes each): beyond that it keeps the words of the texts at hand.
+WORDS, UNITS = 500_000, 300_000
 
 #: number of sequences, and how many pieces of each length one of them holds
 Kind = tuple[int, dict[int, int]]
@@ -114,9 +114,10 @@ class Tokens:
                 self.units.update((unit, self._encode(unit)) for unit in some)
 
     def learn(self, words: set[bytes]) -> None:
-        for held, most in ((self.words, WORDS), (self.units, UNITS)):
-            if len(held) > most:
-                held.clear()
+        if len(self.words) > WORDS:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+        if len(self.units) > UNITS:
+            self.units.clear()
         new = list(words.difference(self.words))
         text = b"\n".join(new).decode()
         if not text.isascii():
