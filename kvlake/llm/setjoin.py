@@ -44,6 +44,8 @@ WIDTH, PERCENT = 5, 80
 #: Counters of the frequency table: a fixed size, whatever the input.
 SKETCH = 1 << 20
 PARTS = 16
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 500_000
 #: Bits of a set's parity.
 PARITY = 1_024
 PARITIES = tuple(f"p{k}" for k in range(PARITY // 64))
@@ -107,7 +109,7 @@ def _frequencies(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
-            for _, _, data, bounds in A.texts(batch["text"]):
+            for _, _, data, bounds in A.texts(batch["text"], SLICE_BYTES):
                 _, h = shingle_sets(data, bounds, width)
                 total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         if total.any():
@@ -131,7 +133,7 @@ def _nodes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in A.texts(batch["text"]):
+            for i, j, data, bounds in A.texts(batch["text"], SLICE_BYTES):
                 n = j - i
                 doc, h = shingle_sets(data, bounds, width)
                 size = np.bincount(doc, minlength=n)
@@ -222,7 +224,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, width: int) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, bounds in A.texts(batch["text"]):
+            for i, j, data, bounds in A.texts(batch["text"], SLICE_BYTES):
                 doc, h = shingle_sets(data, bounds, width)
                 offsets = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
                 bits = np.bincount(doc * PARITY + (A.mix(h) % np.uint64(PARITY)).astype(np.int64), minlength=(j - i) * PARITY).reshape(-1, PARITY) & 1

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at once while a table is written: texts are long, and both sides hold a batch in memory.
+BATCH_ROWS = 1_500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
+    cleanup, batch = spark.conf.get(CLEANUP, "false"), spark.conf.get(BATCH, "10000")
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(BATCH_ROWS, int(batch)) if int(batch) > 0 else BATCH_ROWS))
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        spark.conf.set(CLEANUP, cleanup)
+        spark.conf.set(BATCH, batch)
     return spark.read.schema(df.schema).parquet(path)
 
 
