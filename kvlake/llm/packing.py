@@ -41,7 +41,7 @@ STEPS = 20_000
 #: Units that are encoded as one text.
 LOT = 50
 #: Words, and units of words, whose ids a worker remembers (about 200 bytes each): beyond that it keeps the words of the texts at hand.
-WORDS, UNITS = 500_000, 300_000
+WORDS, UNITS = 800_000, 450_000
 
 #: number of sequences, and how many pieces of each length one of them holds
 Kind = tuple[int, dict[int, int]]
