@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,9 @@ LOT = 50
 #: Words, and units of words, whose ids a worker remembers (about 200 bytes each): beyond that it keeps the words of the texts at hand.
 WORDS, UNITS = 800_000, 450_000
 
+#: Last nodes of the search that keep the rest of their ways; those above make them anew when the search comes back.
+OPEN = 50
+
 #: number of sequences, and how many pieces of each length one of them holds
 Kind = tuple[int, dict[int, int]]
 
@@ -189,14 +195,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
 
 def lower_bound(counts: dict[int, int], length: int) -> int:
     """The least number of sequences that any packing can do with: pieces too large to share a sequence, and what the others need beside their room."""
-    best = -(-sum(s * n for s, n in counts.items()) // length)
-    for least in [0, *(s for s in counts if 2 * s <= length)]:
-        alone = sum(n for s, n in counts.items() if s > length - least)
-        half = [(s, n) for s, n in counts.items() if length < 2 * s <= 2 * (length - least)]
-        small = sum(s * n for s, n in counts.items() if least <= s and 2 * s <= length)
-        room = sum((length - s) * n for s, n in half)
-        best = max(best, alone + sum(n for _, n in half) + max(0, -(-(small - room) // length)))
-    return best
+    sizes = np.array(sorted(counts), dtype=np.int64)
+    numbers = np.array([counts[s] for s in sizes.tolist()], dtype=np.int64)
+    pieces_to, sum_to = np.append(0, np.cumsum(numbers)), np.append(0, np.cumsum(sizes * numbers))
+    half = np.searchsorted(sizes, length // 2, "right")
+    least = np.append(0, sizes[:half])  # smaller pieces are left out of account, and those that could only share with them stand alone
+    shared = np.searchsorted(sizes, length - least, "right")
+    small = sum_to[half] - sum_to[np.searchsorted(sizes, least)]
+    room = (pieces_to[shared] - pieces_to[half]) * length - (sum_to[shared] - sum_to[half])
+    return max(-(-int(sum_to[-1]) // length), int(np.max(pieces_to[-1] - pieces_to[half] + np.maximum(0, -(-(small - room) // length)))))
 
 
 def best_fit(counts: dict[int, int], length: int) -> list[Kind]:
@@ -228,77 +235,140 @@ def best_fit(counts: dict[int, int], length: int) -> list[Kind]:
     return done + [kinds[k] for _, k in open_]
 
 
-def fillings(counts: dict[int, int], room: int, most_left: int, steps: list[int]) -> list[tuple[int, dict[int, int]]]:
-    """(room left, pieces of each size) of the undominated ways to fill a room that leave at most most_left, fullest first.
+@dataclass(slots=True)
+class Node:
+    """A step of the search: a number of equal sequences, the room that each leaves, and the ways to fill one that are still to be tried."""
 
-    A way is dominated if a piece left out could take the place of some of its pieces that are together smaller, or of nothing.
-    """
-    sizes = sorted(counts, reverse=True)
-    below = [0] * (len(sizes) + 1)
+    times: int = 0
+    room: int = 0
+    held: dict[int, int] = field(default_factory=dict)
+    ways: Iterator[tuple[int, dict[int, int]]] | None = None
+    taken: int = 0
+
+
+def reach(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """For each sum up to room the last place in sizes, from which on the pieces can make it exactly; -1 where none can."""
+    last = np.full(room + 1, -1, dtype=np.int64)
+    last[0] = len(sizes)
+    every = (2 << room) - 1
+    made = 1  # bit t: the sum t can be made
     for k in range(len(sizes) - 1, -1, -1):
-        below[k] = below[k + 1] + sizes[k] * counts[sizes[k]]
-    found: list[tuple[int, dict[int, int]]] = []
+        if (made ^ every).bit_length() <= sizes[k]:
+            break  # what is missing is less than the pieces that are left
+        before, n, part = made, min(counts[k], room // sizes[k]), 1
+        while n > 0:
+            made |= made << min(part, n) * sizes[k] & every
+            n, part = n - part, 2 * part
+        if made != before:
+            new = np.frombuffer((made ^ before).to_bytes(room // 8 + 1, "little"), dtype=np.uint8)
+            last[np.flatnonzero(np.unpackbits(new, bitorder="little"))] = k
+    return last.tolist()
+
+
+def fillings(counts: dict[int, int], room: int, most_left: int, steps: list[int]) -> Iterator[tuple[int, dict[int, int]]]:
+    """(room left, pieces of each size) of the undominated ways to fill a room that leave at most most_left, fullest first, each when it is asked for.
+
+    A way is dominated if a piece left out could take the place of some of its pieces that are together smaller, or of nothing. Sums that
+    cannot be made are known beforehand, so no step is lost on them.
+    """
+    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    number = [counts[s] for s in sizes]
+    last = reach(sizes, number, room)
 
     def dominated(left: int, chosen: dict[int, int]) -> bool:
         sums = 1  # bit t: some of the chosen pieces have size t together
         for s, n in chosen.items():
             for _ in range(n):
                 sums |= sums << s
-        return any((sums >> max(x - left, 0)) & ((1 << min(left, x)) - 1) for x in sizes if chosen.get(x, 0) < counts[x])
-
-    def extend(k: int, left: int, chosen: dict[int, int]) -> None:
-        steps[0] -= 1
-        if steps[0] < 0 or left - below[k] > most_left:
-            return
-        k = max(k, bisect_left(sizes, -left, key=lambda s: -s))
-        if k == len(sizes) or not left:
-            if left <= most_left and not dominated(left, chosen):
-                found.append((left, chosen))
-            return
-        size = sizes[k]
-        for n in range(min(counts[size], left // size), -1, -1):
-            extend(k + 1, left - n * size, {**chosen, size: n} if n else chosen)
+        return any((sums >> max(x - left, 0)) & ((1 << min(left, x)) - 1) for x in counts if chosen.get(x, 0) < counts[x])
+
+    def exact(total: int) -> Iterator[dict[int, int]]:
+        """The ways to make a sum: larger pieces first, and as many of them as can be."""
+        chosen: list[tuple[int, int]] = []
+        left, k, most = total, 0, total
+        while steps[0] > 0:
+            while left and last[left] >= k:
+                if sizes[k] > left:
+                    k, most = bisect_left(sizes, -left, key=lambda s: -s), left
+                n = next((n for n in range(min(number[k], left // sizes[k], most), 0, -1) if last[left - n * sizes[k]] > k), 0)
+                if n:
+                    steps[0] -= 1
+                    chosen.append((k, n))
+                    left -= n * sizes[k]
+                k, most = k + 1, left
+            if not left:
+                yield {sizes[i]: n for i, n in chosen}
+            if not chosen:
+                return
+            k, n = chosen.pop()
+            left, most = left + n * sizes[k], n - 1
 
-    extend(0, room, {})
-    return sorted(found, key=lambda f: f[0])
+    for left in range(min(room, most_left) + 1):
+        if last[room - left] >= 0:
+            yield from ((left, chosen) for chosen in exact(room - left) if not left or not dominated(left, chosen))
 
 
 def complete(counts: dict[int, int], length: int, steps: int = STEPS) -> list[Kind]:
-    """Kinds of sequences that hold all pieces: best fit, improved by bin completion where the lower bound leaves room for fewer sequences."""
+    """Kinds of sequences that hold all pieces: best fit, improved by bin completion where the lower bound leaves room for fewer sequences.
+
+    The search goes depth first over one table of the pieces left, which is put back on the way back; what was left before is known by
+    128 bits. So its memory grows with the depth and the steps, by some hundred bytes each, and not with the number of lengths for each branch.
+    """
     best = best_fit(counts, length)
     total, bound, budget = sum(s * n for s, n in counts.items()), lower_bound(counts, length), [steps]
+    bits = random.Random(0)
+    mark = {s: bits.getrandbits(128) for s in counts}
 
     def fewer(target: int) -> list[Kind] | None:
         """A packing into `target` sequences, if the search meets one."""
         allowed = target * length - total
-        seen: dict[tuple, int] = {}
-        stack: list[tuple[dict[int, int], int, tuple]] = [(dict(counts), 0, ())]
-        while stack and budget[0] > 0:
-            left, waste, made = stack.pop()
-            if not left:
-                kinds = []
-                while made:
-                    made, kind = made
-                    kinds.append(kind)
-                return kinds
-            key = tuple(sorted(left.items()))
-            if seen.get(key, allowed + 1) <= waste:
-                continue
-            seen[key] = waste
-            largest = max(left)
-            rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
-            branches = []
-            for room, chosen in fillings(rest, length - largest, allowed - waste, budget):
-                held = {**chosen, largest: chosen.get(largest, 0) + 1}
-                most = min(left[s] // n for s, n in held.items())
-                for times in range(most, 0, -1):
-                    budget[0] -= 1
-                    if budget[0] < 0:
-                        break
-                    if waste + times * room <= allowed:
-                        after = {s: m for s, n in left.items() if (m := n - times * held.get(s, 0))}
-                        branches.append((after, waste + times * room, (made, (times, held))))
-            stack += reversed(branches)
+        left, waste, key = dict(counts), 0, 0
+        seen: dict[int, int] = {}
+        path: list[Node] = []
+
+        def put(node: Node, sign: int) -> None:
+            """Takes a node's sequences from the pieces left, or puts them back."""
+            nonlocal waste, key
+            for s, n in node.held.items():
+                left[s] = left.get(s, 0) - sign * node.times * n
+                if not left[s]:
+                    del left[s]
+                key = (key + sign * node.times * n * mark[s]) % 2**128
+            waste += sign * node.times * node.room
+
+        reached = True  # a state that was not looked at yet
+        while budget[0] > 0:
+            budget[0] -= 1
+            if reached and not left:
+                return [(node.times, node.held) for node in path]
+            if reached and seen.get(key, allowed + 1) > waste:
+                seen[key] = waste
+                path.append(Node())
+                if len(path) > OPEN:
+                    path[-OPEN - 1].ways = None
+            if not path:
+                return None
+            node, reached = path[-1], True
+            put(node, -1)
+            node.times -= 1
+            if node.times <= 0:
+                node.times = 0
+                largest = max(left)
+                if node.ways is None:
+                    rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
+                    node.ways = islice(fillings(rest, length - largest, allowed - waste, budget), node.taken, None)
+                way = next(node.ways, None)
+                if way is None:
+                    path.pop()
+                    reached = False
+                    continue
+                node.room, chosen = way
+                node.taken += 1
+                node.held = {**chosen, largest: chosen.get(largest, 0) + 1}
+                node.times = min(left[s] // n for s, n in node.held.items())
+                if node.room:
+                    node.times = min(node.times, (allowed - waste) // node.room)
+            put(node, 1)
         return None
 
     while (n := sum(k for k, _ in best)) > bound:
