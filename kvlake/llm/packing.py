@@ -43,8 +43,12 @@ END_ID = 1
 STEPS = 20_000
 #: Units that are encoded as one text.
 LOT = 50
-#: Words, and units of words, whose ids a worker remembers (about 200 bytes each): beyond that it keeps the words of the texts at hand.
-WORDS, UNITS = 800_000, 450_000
+#: Words (about 50 bytes each) and units of words (about 200 bytes) whose ids a worker remembers: beyond that it keeps half of the words, and no unit.
+WORDS, UNITS = 600_000, 100_000
+#: Bytes of these words and of their ids, beyond which a worker keeps half of them as well: words may be long.
+WORDS_BYTES = 64_000_000
+#: Words that are looked up at once.
+WORDS_AT_ONCE = 100_000
 
 #: Last nodes of the search that keep the rest of their ways; those above make them anew when the search comes back.
 OPEN = 50
@@ -59,9 +63,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of [first, first + size), one range after the other."""
+    to = np.cumsum(size)
+    return np.repeat(first - to + size, size) + np.arange(to[-1] if len(to) else 0)
+
+
 class Tokens:
     """The ids of texts; those of words (bytes between ASCII white space) are remembered, if the tokenizer treats words independently.
 
+    The words that are known, some 50 bytes each, stand in arrays and are found by 64-bit hashes, many at a time. Every word is then compared
+    with the known one, byte by byte: where hashes meet, the texts at hand are encoded whole.
+
     How words fall into units is read from the tokenizer's file: composed, lower-case words are split by its pattern, and the ids of a unit end
     with the one that has the suffix for ends of words. New units are encoded many at a time. Words with characters beyond Latin, whose
     composing and lower case are the tokenizer's own affair, and words that hold a special token are encoded as they are. A file with other
@@ -78,7 +91,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.key, self.entry = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)  # hashes in order, and where in the others each word is
+        self.letters, self.letters_to = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+        self.held, self.held_to = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int32)
         self.units: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
@@ -119,32 +135,85 @@ class Tokens:
             else:
                 self.units.update((unit, self._encode(unit)) for unit in some)
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > WORDS:
-            self.words = {w: self.words[w] for w in words if w in self.words}
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of words that aren't known."""
         if len(self.units) > UNITS:
             self.units.clear()
-        new = list(words.difference(self.words))
-        text = b"\n".join(new).decode()
+        of: dict[bytes, bytes] = {}
+        plain = new
+        text = b"\n".join(plain).decode()
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         if self.ODD.search(text):
-            odd = {w for w in new if self.ODD.search(unicodedata.normalize("NFC", w.decode()))}
-            self.words.update((w, self._encode(w.decode())) for w in odd)
-            new = [w for w in new if w not in odd]
-            text = unicodedata.normalize("NFC", b"\n".join(new).decode())
-        if not new:
-            return
-        units = self.split.findall(text.lower())
-        self.units["\n"] = self.BREAK
-        self._learn_units(list(set(units).difference(self.units)))
-        self.words.update(zip(new, b"".join(map(self.units.__getitem__, units)).split(self.BREAK), strict=True))
+            of = {w: self._encode(w.decode()) for w in new if self.ODD.search(unicodedata.normalize("NFC", w.decode()))}
+            plain = [w for w in new if w not in of]
+            text = unicodedata.normalize("NFC", b"\n".join(plain).decode())
+        if plain:
+            units = self.split.findall(text.lower())
+            self.units["\n"] = self.BREAK
+            self._learn_units(list(set(units).difference(self.units)))
+            of.update(zip(plain, b"".join(map(self.units.__getitem__, units)).split(self.BREAK), strict=True))
+        return [of[w] for w in new]
+
+    def _forget(self) -> None:
+        """Keeps the half of the words that was met in most lots."""
+        n = len(self.met)
+        keep = np.zeros(n, dtype=bool)
+        keep[np.argsort(self.met, kind="stable")[(n + 1) // 2 :]] = True
+        for name in ("letters", "held"):
+            to = getattr(self, f"{name}_to")
+            size = np.diff(to)
+            setattr(self, name, getattr(self, name)[np.repeat(keep, size)])
+            setattr(self, f"{name}_to", np.append(0, np.cumsum(size[keep])))
+        known = keep[self.entry]
+        self.key, self.entry = self.key[known], (np.cumsum(keep, dtype=np.int32) - 1)[self.entry[known]]
+        self.met = self.met[keep] // 2
+
+    def _ids_of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all words, and how many each has; None where two words have one hash."""
+        if len(self.key) > WORDS or self.letters.nbytes + self.held.nbytes > WORDS_BYTES:
+            self._forget()
+        key, one, of = np.unique(A.word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.key, key)
+        unknown = np.ones(len(key), dtype=bool)
+        inside = at < len(self.key)
+        unknown[inside] = self.key[at[inside]] != key[inside]
+        if unknown.any():
+            text, first = data.tobytes(), one[unknown]
+            words = [text[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+            ids = self._learn(words)
+            self.key = np.insert(self.key, at[unknown], key[unknown])
+            self.entry = np.insert(self.entry, at[unknown], np.arange(len(self.met), len(self.met) + len(words), dtype=np.int32))
+            self.letters = np.append(self.letters, np.frombuffer(b"".join(words), dtype=np.uint8))
+            self.letters_to = np.append(self.letters_to, self.letters_to[-1] + np.cumsum([len(w) for w in words]))
+            self.held = np.append(self.held, np.frombuffer(b"".join(ids), dtype="<u4"))
+            self.held_to = np.append(self.held_to, self.held_to[-1] + np.cumsum([len(x) // 4 for x in ids]))
+            self.met = np.append(self.met, np.zeros(len(words), dtype=np.int32))
+            at = np.searchsorted(self.key, key)
+        entry = self.entry[at]
+        self.met[entry] += 1
+        entry, size = entry[of], end - begin
+        first = self.letters_to[entry]
+        if not np.array_equal(self.letters_to[entry + 1] - first, size) or not np.array_equal(self.letters[ranges(first, size)], data[A.SPACED[data]]):
+            return None
+        first = self.held_to[entry]
+        number = self.held_to[entry + 1] - first
+        return self.held[ranges(first, number)], number
 
     def _by_word(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        self.learn(set().union(*split))
-        of = self.words.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        data, bounds = np.frombuffer(b"".join(texts), dtype=np.uint8), np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+        begin, end, doc = A.words(data, bounds, A.SPACED)
+        parts, numbers = [b""], [np.zeros(0, dtype=np.int64)]
+        for i in range(0, len(begin), WORDS_AT_ONCE):
+            j = min(i + WORDS_AT_ONCE, len(begin))
+            found = self._ids_of(data[begin[i] : end[j - 1]], begin[i:j] - begin[i], end[i:j] - begin[i])
+            if found is None:
+                return [self._encode(text.decode()) for text in texts]
+            parts.append(found[0].tobytes())
+            numbers.append(found[1])
+        ids = b"".join(parts)
+        to = 4 * np.append(0, np.cumsum(np.concatenate(numbers)))[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        return [ids[a:b] for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""

@@ -1,5 +1,6 @@
 """Operators 3, 4, 6, 7, 9 and 10, and the pipeline."""
 
+import gc
 import random
 import re
 import tracemalloc
@@ -298,6 +299,50 @@ def test_tokens_by_word_are_those_of_the_whole_text():
     assert tokens.ids([t.encode() for t in texts]) == [tokens._encode(t) for t in texts]
 
 
+def made_up_words(n: int, seed: int) -> list[str]:
+    letters = np.random.default_rng(seed).integers(97, 123, (n, 9), dtype=np.uint8)
+    return [x.tobytes().decode() for x in letters]
+
+
+def test_words_are_remembered_in_few_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "UNITS", 1_000)
+    tokens = packing.Tokens(packing.default_tokenizer())
+    tokens.ids([b"a b"])
+    tracemalloc.start()
+    try:
+        for seed in range(30):
+            tokens.ids([" ".join(made_up_words(1_000, seed)).encode()])
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 30_000 * 110
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_words_are_not_kept_beyond_their_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_BYTES", 50_000)
+    tokens = packing.Tokens(packing.default_tokenizer())
+    for seed in range(40):
+        word = "-".join(made_up_words(1_000, seed))
+        assert tokens.ids([f"a {word}".encode()]) == [tokens._encode(f"a {word}")]
+    assert tokens.letters.nbytes + tokens.held.nbytes < 100_000
+
+
+def test_tokens_are_right_when_words_are_forgotten_and_hashes_meet(monkeypatch):
+    texts = [t or "" for t in TEXTS] + [" ".join(made_up_words(40, seed % 7)) + f" {seed} ΑΣ 日本 <|endoftext|>" for seed in range(30)] + ["", " \n ", "é e\u0301"]
+    monkeypatch.setattr(packing, "WORDS", 60)
+    monkeypatch.setattr(packing, "UNITS", 20)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 50)
+    tokens = packing.Tokens(packing.default_tokenizer())
+    want = [tokens._encode(t) for t in texts]
+    for _ in range(2):
+        assert [tokens.ids([t.encode()])[0] for t in texts] == tokens.ids([t.encode() for t in texts]) == want
+    plain = packing.A.word_hashes
+    monkeypatch.setattr(packing.A, "word_hashes", lambda *x: plain(*x) % np.uint64(97))
+    tokens = packing.Tokens(packing.default_tokenizer())
+    assert tokens.by_word
+    assert [tokens.ids([t.encode()])[0] for t in texts] == tokens.ids([t.encode() for t in texts]) == want
+
+
 def test_neighbours(spark):
     vectors = table(spark, "embeddings").select("vec_id", "embedding").toPandas()
     held = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.itertuples()}
